@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import pieces, tokenize
+from brindle.llm import groups, pieces, tokenize
 from brindle.plans.durable import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,21 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return cut.filter((F.col("n_pieces") > 1) & (F.col("piece_ix") == 1)).select("ann_id")
 
 
+FILING_COLUMNS = ("rec_id", "id", "text", "author", "entity")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every filing that is not the smallest of its group, with the smallest."""
+    found = groups.related_groups(table(spark, d, "filings", *FILING_COLUMNS))
+    return found.filter("lead < rec").select(F.col("lead").alias("lead_id"), F.col("rec").alias("rec_id"))
+
+
+def p5_splits(spark: SparkSession, d: str) -> DataFrame:
+    """The split of every filing; related filings share one."""
+    dealt = groups.assign_splits(table(spark, d, "filings", *FILING_COLUMNS))
+    return dealt.select(F.col("rec").alias("rec_id"), F.col("lead").alias("lead_id"), "split")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokenize.encode_corpus(table(spark, d, "documents", "doc_id", "text"), "doc_id")
@@ -34,6 +49,8 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
         "p1_pieces": p1_pieces,
+        "p5_found": p5_found,
+        "p5_splits": p5_splits,
         "p7_ids": p7_ids,
     }
 
