@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import groups, pieces, tokenize
+from brindle.llm import groups, pieces, tokenize, truncation
 from brindle.plans.durable import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,30 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return cut.filter((F.col("n_pieces") > 1) & (F.col("piece_ix") == 1)).select("ann_id")
 
 
+RESPONSE_COLUMNS = ("resp_id", "stage", "prompt", "text", "completion_tokens", "error", "source")
+
+
+def _answered(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "llm_responses", *RESPONSE_COLUMNS).filter(F.col("error").isNull())
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Responses that were cut before their end."""
+    return truncation.truncated(_answered(spark, d), "resp_id").select(F.col("key").alias("resp_id"))
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The share of responses that each source cuts."""
+    df = _answered(spark, d).filter(F.col("text").isNotNull())
+    return truncation.rates(df, truncation.truncated(df, "resp_id"))
+
+
+def p2_limits(spark: SparkSession, d: str) -> DataFrame:
+    """The lengths at which each source cuts."""
+    src = truncation.prepared(_answered(spark, d), "resp_id", "text", "source", None, None)
+    return truncation.cut_lengths(src).select("source", "unit", "length", "n", "at_risk", F.round("log_p", 3).alias("log_p"))
+
+
 FILING_COLUMNS = ("rec_id", "id", "text", "author", "entity")
 
 
@@ -49,6 +73,9 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
         "p1_pieces": p1_pieces,
+        "p2_found": p2_found,
+        "p2_rates": p2_rates,
+        "p2_limits": p2_limits,
         "p5_found": p5_found,
         "p5_splits": p5_splits,
         "p7_ids": p7_ids,
