@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import groups, pieces, tokenize, truncation
+from brindle.llm import groups, pairs, pieces, tokenize, truncation
 from brindle.plans.durable import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,16 @@ def p2_limits(spark: SparkSession, d: str) -> DataFrame:
     return truncation.cut_lengths(src).select("source", "unit", "length", "n", "at_risk", F.round("log_p", 3).alias("log_p"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Defective pairs of both tables with their defect."""
+    raw = table(spark, d, "raw_pairs").select(
+        F.lit("raw_pairs").alias("tbl"), F.col("pair_id").alias("key"), F.col("anchor").alias("question"), F.col("positive").alias("answer"), F.lit(None).cast("int").alias("tokens"), "source"
+    )
+    said = _answered(spark, d).filter(F.col("stage") == "answer")
+    said = said.select(F.lit("llm_responses").alias("tbl"), F.col("resp_id").alias("key"), F.col("prompt").alias("question"), F.col("text").alias("answer"), F.col("completion_tokens").alias("tokens"), "source")
+    return pairs.defects(raw.unionByName(said)).select("tbl", F.col("key").alias("row_key"), "defect")
+
+
 FILING_COLUMNS = ("rec_id", "id", "text", "author", "entity")
 
 
@@ -76,6 +86,7 @@ def queries() -> dict[str, Query]:
         "p2_found": p2_found,
         "p2_rates": p2_rates,
         "p2_limits": p2_limits,
+        "p3_found": p3_found,
         "p5_found": p5_found,
         "p5_splits": p5_splits,
         "p7_ids": p7_ids,
