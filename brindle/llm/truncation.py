@@ -15,6 +15,7 @@ string value, whatever was closed behind it, ends in the middle.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.plans.durable import cut
+
 #: What is put behind a text that was cut.
 CUT_MARK = r"\[(?:\.{3}|…|\.\.|truncated|cut|cut off|continued|snip)\]|<\|[a-z_]{2,20}\|>|\((?:\.{3}|…|truncated|cut)\)|…|\.{3}|�"
 #: Markup that may close behind a text, cut or not.
@@ -38,6 +41,8 @@ CHARS_A_TOKEN = 3.2
 MIN_TOKENS = 8
 ALPHA = 1e-3
 NEIGHBOURS = 10
+_STOPS, _CLOSERS, _AFTER_VALUE = frozenset(".!?"), "\"'”’»)*_", frozenset(",}]")
+_DIGITS = re.compile(r"\d")
 _AROUND = "\"'.,;:!?()[]{}<>*_`“”«»„…–—-"
 
 
@@ -81,45 +86,66 @@ def unbalanced(text: Column) -> Column:
     return (count("{") > count("}")) | (count("[") > count("]"))
 
 
-def sentence_ends(df: DataFrame, text: str = "text", json: str = "is_json") -> DataFrame:
-    """``(key, n)``: how often a word ends a finished sentence or string value.
-
-    Names are coined without end, so a capitalised word also counts as "a name
-    after that word": the key is then the word before it and ``<name>``.
+def ends_in(tokens: list[str], is_json: bool) -> Iterator[tuple[str, str]]:
+    """``(word before, word)`` at each end of a finished sentence, or of a JSON string value."""
+    before = ""
+    for token in tokens:
+        if is_json:
+            at = token.find('"', 1) if token[1:2] not in _AFTER_VALUE else token.find('"')
+            ended = at >= 0 and token[at + 1 : at + 2] in _AFTER_VALUE
+            word = token[:at].strip(_AROUND) if ended else ""
+            if ended and not word:
+                word, before = before.strip(_AROUND), ""
+        else:
+            bare = token.rstrip(_CLOSERS)
+            ended = bare[-1:] in _STOPS and bare[-2:-1] not in _STOPS
+            word = bare.strip(_AROUND) if ended else ""
+            if ended and not word:
+                word, before = before.strip(_AROUND), ""
+        if ended and word:
+            yield before.strip(_AROUND), word
+        before = token
+
+
+def counts(src: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(ends, words)`` of all texts, each ``(word, n)``, counted per partition before anything is shuffled.
+
+    ``ends`` has how often a word ends a finished sentence or string value, of
+    texts without a cut mark.  Names are coined without end, so a capitalised
+    word also counts as "a name after that word", ``<word before> <name>``.
     """
-    word = r"[^\s.!?;,:\"“”«»„(){}\[\]]+"
-    prose = F.regexp_extract_all(F.col(text), F.lit(rf"({word}[ \x{{a0}}]+{word})[ \x{{a0}}]?[.!?](?=[\s\"”»)]|\z)"), F.lit(1))
-    value = F.regexp_extract_all(F.col(text), F.lit(rf"({word}[ \x{{a0}}]+{word})[ \x{{a0}}]?[.!?]?\"\s*[,}}\]]"), F.lit(1))
-    pairs = df.select(F.explode(F.when(F.col(json), value).otherwise(prose)).alias("pair"))
-    parts = pairs.select(F.split("pair", r"[ \x{a0}]+").alias("w")).select(F.col("w")[0].alias("a"), F.element_at("w", -1).alias("b"))
-    name = F.when(F.col("b").rlike(r"\A\p{Lu}"), F.concat(word_key(F.col("a")), F.lit(" <name>")))
-    keys = F.array_compact(F.array(word_key(F.col("b")), name))
-    return parts.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_ENDINGS)
-
-
-def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """``(word, n)`` of all texts, counted per partition before anything is shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
+        words: Counter[str] = Counter()
+        ends: Counter[tuple[str, str]] = Counter()
 
         def rows() -> pa.RecordBatch:
-            clean: Counter[str] = Counter()
-            for token, n in seen.items():
+            clean: Counter[tuple[bool, str]] = Counter()
+            for token, n in words.items():
                 word = token.strip(_AROUND).lower()
-                if word.isalpha():
-                    clean[word] += n
-            seen.clear()
-            return pa.RecordBatch.from_pydict({"word": pa.array(clean.keys(), pa.string()), "n": pa.array(clean.values(), pa.int64())})
+                if word.replace("_", "").isalpha():
+                    clean[False, word] += n
+            for (before, word), n in ends.items():
+                clean[True, _DIGITS.sub("0", word.lower())] += n
+                if word[0].isupper():
+                    clean[True, _DIGITS.sub("0", before.lower()) + " <name>"] += n
+            words.clear()
+            ends.clear()
+            return pa.RecordBatch.from_pydict({"is_end": pa.array([k[0] for k in clean], pa.bool_()), "word": pa.array([k[1] for k in clean], pa.string()), "n": pa.array(clean.values(), pa.int64())})
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen.update(t.split())
-            if len(seen) > 500_000:
+            for text, is_json, marked in zip(*(c.to_pylist() for c in batch.columns)):
+                tokens = text.split()
+                words.update(tokens)
+                if not marked:
+                    ends.update(ends_in(tokens, is_json))
+            if len(words) + len(ends) > 500_000:
                 yield rows()
         yield rows()
 
-    return df.select(text).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_WORD)
+    seen = src.select("text", "is_json", "marked").mapInArrow(count, "is_end boolean, word string, n bigint")
+    summed = cut(seen.groupBy("is_end", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= F.when(F.col("is_end"), MIN_ENDINGS).otherwise(MIN_WORD)))
+    return summed.filter("is_end").select("word", "n"), summed.filter("NOT is_end").select("word", "n")
 
 
 def beginnings(words: DataFrame) -> DataFrame:
@@ -228,12 +254,12 @@ def truncated(
     own; a repeated row comes out as often; an empty table gives no rows.
     """
     src = prepared(df, key, text, source, prompt, tokens)
-    ends = sentence_ends(src.filter(~F.col("marked")))
-    known = beginnings(word_counts(src))
+    ends, words = counts(src)
+    known = beginnings(words)
     limits = cut_lengths(src)
     at = {u: limits.filter(F.col("unit") == u).select("source", F.col("length").alias(u), F.lit(True).alias(f"at_{u}")) for u in ("chars", "bytes")}
-    s = suspects(src).join(ends.select(F.col("key").alias("word"), F.col("n").alias("ends")), "word", "left")
-    s = s.join(ends.select(F.col("key").alias("name"), F.lit(True).alias("name_ends")), "name", "left").join(known, "word", "left")
+    s = suspects(src).join(ends.select("word", F.col("n").alias("ends")), "word", "left")
+    s = s.join(ends.select(F.col("word").alias("name"), F.lit(True).alias("name_ends")), "name", "left").join(known, "word", "left")
     s = s.join(closing_keys(src), "json_key", "left")
     s = s.join(F.broadcast(at["chars"]), ["source", "chars"], "left").join(F.broadcast(at["bytes"]), ["source", "bytes"], "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
@@ -256,6 +282,6 @@ def truncated(
 def rates(df: DataFrame, found: DataFrame, source: str = "source") -> DataFrame:
     """``(source, n, n_cut, share)``: how often each source cuts."""
     n = df.groupBy(F.coalesce(F.col(source), F.lit("")).alias("source")).agg(F.count("*").alias("n"))
-    cut = found.groupBy("source").agg(F.count("*").alias("n_cut"))
-    out = n.join(cut, "source", "left").select("source", "n", F.coalesce("n_cut", F.lit(0)).alias("n_cut"))
+    n_cut = found.groupBy("source").agg(F.count("*").alias("n_cut"))
+    out = n.join(n_cut, "source", "left").select("source", "n", F.coalesce("n_cut", F.lit(0)).alias("n_cut"))
     return out.withColumn("share", F.col("n_cut") / F.col("n"))
