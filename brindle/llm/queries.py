@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import groups, pairs, pieces, tokenize, truncation
+from brindle.llm import groups, overlap, pairs, pieces, tokenize, truncation
 from brindle.plans.durable import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,29 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defects(raw.unionByName(said)).select("tbl", F.col("key").alias("row_key"), "defect")
 
 
+def _annotated_records(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "annotated", "ann_id", "split", "text")
+    return df.select(F.col("ann_id").alias("key"), overlap.is_train(F.col("split")).alias("train"), F.array("text").alias("texts"))
+
+
+def _pair_records(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "raw_pairs", "pair_id", "split", "anchor", "positive")
+    return df.select(F.col("pair_id").alias("key"), overlap.is_train(F.col("split")).alias("train"), F.array("anchor", "positive").alias("texts"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of records across the splits that are the same or almost the same."""
+    a = overlap.cross_split(_annotated_records(spark, d)).select(F.lit("annotated").alias("tbl"), "id_a", "id_b")
+    return a.unionByName(overlap.cross_split(_pair_records(spark, d)).select(F.lit("raw_pairs").alias("tbl"), "id_a", "id_b"))
+
+
+def p4_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """How many held-out records of each split and source also stand in train."""
+    a = overlap.leak_report(table(spark, d, "annotated", "ann_id", "split", "source"), overlap.cross_split(_annotated_records(spark, d)), "ann_id", "split", "source")
+    b = overlap.leak_report(table(spark, d, "raw_pairs", "pair_id", "split", "source"), overlap.cross_split(_pair_records(spark, d)), "pair_id", "split", "source")
+    return a.withColumn("tbl", F.lit("annotated")).unionByName(b.withColumn("tbl", F.lit("raw_pairs")))
+
+
 FILING_COLUMNS = ("rec_id", "id", "text", "author", "entity")
 
 
@@ -87,6 +110,8 @@ def queries() -> dict[str, Query]:
         "p2_rates": p2_rates,
         "p2_limits": p2_limits,
         "p3_found": p3_found,
+        "p4_found": p4_found,
+        "p4_leaks": p4_leaks,
         "p5_found": p5_found,
         "p5_splits": p5_splits,
         "p7_ids": p7_ids,
