@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import groups, overlap, pairs, pieces, tokenize, truncation
+from brindle.llm import groups, leakage, overlap, pairs, pieces, tokenize, truncation
 from brindle.plans.durable import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +101,11 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, d, "documents", "doc_id", "text"), "doc_id")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold evaluation texts, with the items."""
+    return leakage.find_leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"))
+
+
 def queries() -> dict[str, Query]:
     """All queries of the subpackage by name."""
     return {
@@ -115,6 +120,7 @@ def queries() -> dict[str, Query]:
         "p5_found": p5_found,
         "p5_splits": p5_splits,
         "p7_ids": p7_ids,
+        "p8_found": p8_found,
     }
 
 
