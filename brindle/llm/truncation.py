@@ -46,12 +46,18 @@ _DIGITS = re.compile(r"\d")
 _AROUND = "\"'.,;:!?()[]{}<>*_`“”«»„…–—-"
 
 
+def strip_marks(text: Column) -> Column:
+    """``text`` without the marks and markup at its end; the pattern only runs where one could be."""
+    some = F.right(F.rtrim(text), F.lit(1)).isin(*"])>…�*_`~") | text.endswith("...")
+    return F.when(some, F.regexp_replace(text, rf"(?i)(?:\s*(?:{CUT_MARK}|{CLOSING}))+\s*\z", "")).otherwise(text)
+
+
 def ending(text: Column) -> tuple[Column, Column]:
     """``(rest, marked)``: the last code points without marks and markup, and whether a cut mark was there."""
     last = F.right(text, F.lit(WIDTH))
-    rest = F.regexp_replace(last, rf"(?i)(?:\s*(?:{CUT_MARK}|{CLOSING}))+\s*\z", "")
+    rest = strip_marks(last)
     removed = F.substring(last, F.char_length(rest) + 1, F.lit(WIDTH))
-    return rest, removed.rlike(rf"(?i){CUT_MARK}")
+    return rest, (F.char_length(removed) > 0) & removed.rlike(rf"(?i){CUT_MARK}")
 
 
 def finished(rest: Column) -> Column:
@@ -166,13 +172,12 @@ def closing_keys(src: DataFrame) -> DataFrame:
 
 def last_key(text: Column) -> Column:
     """The key of the last string value of a JSON text."""
-    return F.regexp_extract(text, r"[\"']([A-Za-z_]{1,40})[\"']\s*:\s*[\"][^\"]*[\"][\s}\]`]*\z", 1)
+    return F.regexp_extract(text, r"(?s)\A.*[\"']([A-Za-z_]{1,40})[\"']\s*:\s*[\"']", 1)
 
 
 def _inner(rest: Column) -> Column:
     """A text without the closers of JSON and the marks before them."""
-    inner = F.regexp_replace(rest, r"[\"'}\]\s`]*\z", "")
-    return F.regexp_replace(inner, rf"(?i)(?:\s*(?:{CUT_MARK}|{CLOSING}))+\s*\z", "")
+    return strip_marks(F.regexp_replace(rest, r"[\"'}\]\s`]+\z", ""))
 
 
 def cut_lengths(lengths: DataFrame, alpha: float = ALPHA, near: int = NEIGHBOURS) -> DataFrame:
@@ -183,7 +188,7 @@ def cut_lengths(lengths: DataFrame, alpha: float = ALPHA, near: int = NEIGHBOURS
     Benjamini-Hochberg holds the share of false lengths below ``alpha``.
     """
     counted = lengths.select("source", F.explode(F.create_map(F.lit("chars"), "chars", F.lit("bytes"), "bytes")).alias("unit", "length"))
-    counted = counted.groupBy("source", "unit", "length").agg(F.count("*").alias("n"))
+    counted = cut(counted.groupBy("source", "unit", "length").agg(F.count("*").alias("n")))
     by = Window.partitionBy("source", "unit").orderBy("length")
     risk = counted.withColumn("at_risk", F.sum("n").over(by.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, 0)))
     around = by.rangeBetween(-near, near)
@@ -256,7 +261,7 @@ def truncated(
     src = prepared(df, key, text, source, prompt, tokens)
     ends, words = counts(src)
     known = beginnings(words)
-    limits = cut_lengths(src)
+    limits = cut(cut_lengths(src))
     at = {u: limits.filter(F.col("unit") == u).select("source", F.col("length").alias(u), F.lit(True).alias(f"at_{u}")) for u in ("chars", "bytes")}
     s = suspects(src).join(ends.select("word", F.col("n").alias("ends")), "word", "left")
     s = s.join(ends.select(F.col("word").alias("name"), F.lit(True).alias("name_ends")), "name", "left").join(known, "word", "left")
