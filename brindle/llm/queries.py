@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import groups, leakage, overlap, pairs, pieces, tokenize, truncation
+from brindle.llm import groups, leakage, overlap, pairs, pieces, reading, tokenize, truncation
 from brindle.plans.durable import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +106,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Reading level of every document of prose."""
+    return reading.reading_levels(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "level_ratings", "doc_id", "level"))
+
+
 def queries() -> dict[str, Query]:
     """All queries of the subpackage by name."""
     return {
@@ -121,6 +126,7 @@ def queries() -> dict[str, Query]:
         "p5_splits": p5_splits,
         "p7_ids": p7_ids,
         "p8_found": p8_found,
+        "p9_found": p9_found,
     }
 
 
