@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import groups, leakage, overlap, pairs, pieces, reading, tokenize, truncation
+from brindle.llm import groups, leakage, overlap, pairs, personal, pieces, reading, tokenize, truncation
 from brindle.plans.durable import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +96,18 @@ def p5_splits(spark: SparkSession, d: str) -> DataFrame:
     return dealt.select(F.col("rec").alias("rec_id"), F.col("lead").alias("lead_id"), "split")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every mention of personal data in the annotated texts."""
+    df = table(spark, d, "annotated", "ann_id", "text", "spans")
+    return personal.find_personal(df, "ann_id", personal.fit_on(df, "ann_id"))
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every annotated text with placeholders in place of personal data."""
+    df = table(spark, d, "annotated", "ann_id", "text", "spans")
+    return personal.redacted(df, "ann_id", personal.fit_on(df, "ann_id"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokenize.encode_corpus(table(spark, d, "documents", "doc_id", "text"), "doc_id")
@@ -124,6 +136,8 @@ def queries() -> dict[str, Query]:
         "p4_leaks": p4_leaks,
         "p5_found": p5_found,
         "p5_splits": p5_splits,
+        "p6_found": p6_found,
+        "p6_redacted": p6_redacted,
         "p7_ids": p7_ids,
         "p8_found": p8_found,
         "p9_found": p9_found,
