@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,23 +27,32 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def tokens_with_offsets(text: Column) -> Column:
-    """Array of ``struct(tok, start, end)`` in code points, half-open, case kept.
+_WORDS = re.compile(r"\w+")
+_TOKEN_TYPE = pa.list_(pa.struct([("tok", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
-    Spark has no function for all match positions: the gaps between the words
-    come from a split on the same pattern, and lengths add up in one fold.
-    """
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    gaps = F.split(text, WORD, -1)
-    pairs = F.arrays_zip(words.alias("w"), F.slice(gaps, 1, F.size(words)).alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<tok:string,start:int,end:int>>)").alias("out"))
 
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + F.char_length(p["g"])
-        end = begin + F.char_length(p["w"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(p["w"].alias("tok"), begin.alias("start"), end.alias("end")))).alias("out"))
+@F.arrow_udf("array<struct<tok:string,start:int,end:int>>")
+def _offsets(texts: pa.Array) -> pa.Array:
+    lengths, toks, starts, ends = [0], [], [], []
+    valid = []
+    for t in texts.to_pylist():
+        valid.append(t is not None)
+        for m in _WORDS.finditer(t or ""):
+            toks.append(m.group())
+            starts.append(m.start())
+            ends.append(m.end())
+        lengths.append(len(toks))
+    rows = pa.StructArray.from_arrays([pa.array(toks, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], fields=list(_TOKEN_TYPE.value_type))
+    return pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), rows, mask=pa.array([not v for v in valid], pa.bool_()))
+
 
-    return F.when(text.isNotNull(), F.aggregate(pairs, start, step, lambda acc: acc["out"]))
+def tokens_with_offsets(text: Column) -> Column:
+    """Array of ``struct(tok, start, end)`` in code points, half-open, case kept; null for null.
+
+    Spark has no function for all match positions, and adding up lengths in a
+    fold copies the array at every word, so this is an Arrow function.
+    """
+    return _offsets(text)
 
 
 def window_starts(n: Column, size: int, overlap: int, least: int = 0) -> Column:
