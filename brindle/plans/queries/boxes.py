@@ -1 +1,170 @@
-"""To come."""
+"""Boxes made of line items (an image is an order, a label the return flag), their text forms and matches."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brindle.functions import geometry as geo
+from brindle.operators import metrics
+from brindle.plans.durable import table
+from brindle.plans.registry import query
+
+W, H = 1000.0, 800.0
+IOUS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
+RAW = "SELECT l_orderkey AS image, l_linenumber AS ix, l_returnflag AS label, l_suppkey, l_quantity * 18 AS x, l_discount * 6000 AS y, (l_extendedprice % 300) + 1 AS w, l_tax * 2000 + 10 AS h FROM lineitem"
+UNIT = f"""SELECT image, ix, label, l_suppkey, greatest(0, least(1, x / 1000)) AS x1, greatest(0, least(1, y / 800)) AS y1, greatest(0, least(1, (x + w) / 1000)) AS x2, greatest(0, least(1, (y + h) / 800)) AS y2 FROM ({RAW})"""
+BOX = f"box AS (SELECT * FROM ({UNIT}) WHERE x2 > x1 AND y2 > y1)"
+QUANT = "greatest(0, least(999, round_even({} * 999, 0)))::INT"
+
+
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_suppkey", "l_quantity", "l_discount", "l_extendedprice", "l_tax")
+    box = F.array(F.col("l_quantity") * 18, F.col("l_discount") * 6000, (F.col("l_extendedprice") % 300) + 1, F.col("l_tax") * 2000 + 10)
+    return li.select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("ix"), F.col("l_returnflag").alias("label"), "l_suppkey", box.alias("xywh"))
+
+
+def _boxes(spark: SparkSession, d: str) -> DataFrame:
+    return _raw(spark, d).withColumn("box", geo.unit_box(F.col("xywh"), F.lit(W), F.lit(H))).filter("box IS NOT NULL").drop("xywh")
+
+
+@query("box_normalize", f"WITH {BOX} SELECT image, ix, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2, round((x1 + x2) / 2, 6) AS cx, round((y1 + y2) / 2, 6) AS cy FROM box")
+def box_normalize(spark: SparkSession, d: str) -> DataFrame:
+    b = _boxes(spark, d).withColumn("c", geo.centre(F.col("box")))
+    return b.select("image", "ix", *[F.round(F.col("box")[i], 6).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))], F.round(F.col("c")[0], 6).alias("cx"), F.round(F.col("c")[1], 6).alias("cy"))
+
+
+@query(
+    "validate_boxes",
+    f"""SELECT image, ix, unnest(list_filter([CASE WHEN x / 500 < 0 OR x / 500 > 1 OR y / 400 < 0 OR y / 400 > 1 OR w / 500 > 1 OR h / 400 > 1 THEN 'box within [0, 1]' END,
+          CASE WHEN w / 500 <= x / 500 OR h / 400 <= y / 400 THEN 'box has extent' END], lambda e: e IS NOT NULL)) AS error FROM ({RAW})""",
+)
+def validate_boxes(spark: SparkSession, d: str) -> DataFrame:
+    b = _raw(spark, d).withColumn("b", F.array(F.col("xywh")[0] / 500, F.col("xywh")[1] / 400, F.col("xywh")[2] / 500, F.col("xywh")[3] / 400))
+    return b.select("image", "ix", F.explode(geo.violations(F.col("b"), F.col("label"))).alias("error"))
+
+
+@query("quantize", f"WITH {BOX} SELECT image, ix, {QUANT.format('x1')} AS q1, {QUANT.format('x2')} AS q2, round({QUANT.format('x1')} / 999.0::DOUBLE, 6) AS back FROM box")
+def quantize(spark: SparkSession, d: str) -> DataFrame:
+    b = _boxes(spark, d)
+    q = geo.quantize(F.col("box")[0])
+    return b.select("image", "ix", q.alias("q1"), geo.quantize(F.col("box")[2]).alias("q2"), F.round(geo.dequantize(q), 6).alias("back"))
+
+
+TEXT = f"label || '<box> ' || {QUANT.format('x1')} || ', ' || {QUANT.format('y1')} || ', ' || {QUANT.format('x2')} || ', ' || {QUANT.format('y2')} || ' </box>'"
+
+
+@query("box_serialize", f"WITH {BOX} SELECT image, string_agg({TEXT}, chr(10) ORDER BY ix, {TEXT}) AS target FROM box GROUP BY image")
+def box_serialize(spark: SparkSession, d: str) -> DataFrame:
+    return _targets(spark, d)
+
+
+def _targets(spark: SparkSession, d: str) -> DataFrame:
+    b = _boxes(spark, d).select("image", F.struct("ix", geo.serialize(F.col("label"), F.col("box")).alias("t")).alias("s"))
+    return b.groupBy("image").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), "\n").alias("target"))
+
+
+@query(
+    "box_parse",
+    f"""WITH {BOX} SELECT image, row_number() OVER (PARTITION BY image ORDER BY ix, {TEXT}) - 1 AS pos, label, round({QUANT.format('x1')} / 999.0::DOUBLE, 6) AS c1, round({QUANT.format('y2')} / 999.0::DOUBLE, 6) AS c4 FROM box""",
+)
+def box_parse(spark: SparkSession, d: str) -> DataFrame:
+    p = _targets(spark, d).select("image", F.posexplode(geo.parse(F.col("target"))).alias("pos", "o"))
+    return p.select("image", F.col("pos").cast("bigint").alias("pos"), "o.label", F.col("o.coords")[0].alias("c1"), F.col("o.coords")[3].alias("c4"))
+
+
+IOU = """CASE WHEN ({a}.x2 - {a}.x1) * ({a}.y2 - {a}.y1) + ({b}.x2 - {b}.x1) * ({b}.y2 - {b}.y1) - i > 0 THEN i / (({a}.x2 - {a}.x1) * ({a}.y2 - {a}.y1) + ({b}.x2 - {b}.x1) * ({b}.y2 - {b}.y1) - i) ELSE 0 END"""
+INTER = "greatest(0, least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1)) * greatest(0, least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1))"
+
+
+@query(
+    "box_iou",
+    f"""WITH {BOX} SELECT a.image, a.ix, round({IOU.format(a='a', b='b')}, 6) AS iou, (a.x1 + a.x2) / 2 BETWEEN b.x1 AND b.x2 AND (a.y1 + a.y2) / 2 BETWEEN b.y1 AND b.y2 AS inside
+        FROM box a JOIN box b ON a.image = b.image AND b.ix = a.ix + 1, LATERAL (SELECT {INTER.format(a='a', b='b')} AS i)""",
+)
+def box_iou(spark: SparkSession, d: str) -> DataFrame:
+    a = _boxes(spark, d)
+    b = a.select("image", (F.col("ix") - 1).alias("ix"), F.col("box").alias("next"))
+    j = a.join(b, ["image", "ix"])
+    return j.select("image", "ix", F.round(geo.iou(F.col("box"), F.col("next")), 6).alias("iou"), geo.point_in_box(geo.centre(F.col("box")), F.col("next")).alias("inside"))
+
+
+@query("coco_convert", f"SELECT image, ix, round(x + w, 6) AS x2, round(y + h, 6) AS y2, round(w, 6) AS w_back, round(w * h, 4) AS area FROM ({RAW})")
+def coco_convert(spark: SparkSession, d: str) -> DataFrame:
+    b = _raw(spark, d).withColumn("c", geo.xyxy(F.col("xywh"))).withColumn("back", geo.xywh(F.col("c")))
+    return b.select("image", "ix", F.round(F.col("c")[2], 6).alias("x2"), F.round(F.col("c")[3], 6).alias("y2"), F.round(F.col("back")[2], 6).alias("w_back"), F.round(F.col("xywh")[2] * F.col("xywh")[3], 4).alias("area"))
+
+
+@query("denormalize", f"WITH {BOX} SELECT image, ix, round(x1 * 640, 4) AS px, round(y1 * 480, 4) AS py FROM box")
+def denormalize(spark: SparkSession, d: str) -> DataFrame:
+    b = _boxes(spark, d).withColumn("p", geo.denormalize(F.col("box"), F.lit(640.0), F.lit(480.0)))
+    return b.select("image", "ix", F.round(F.col("p")[0], 4).alias("px"), F.round(F.col("p")[1], 4).alias("py"))
+
+
+SHIFT = "(l_suppkey % 7) * 0.006::DOUBLE"
+CAND = f"""{BOX}, pred AS (SELECT image, ix, label, x1 + {SHIFT} AS x1, y1, x2 + {SHIFT} AS x2, y2 FROM box WHERE ix % 4 <> 0),
+  cand AS (SELECT * FROM (SELECT p.image, p.ix AS pred, g.ix AS gold, round({IOU.format(a='p', b='g')}, 9) AS score FROM pred p JOIN box g ON p.image = g.image AND p.label = g.label, LATERAL (SELECT {INTER.format(a='p', b='g')} AS i)) WHERE score > 0)"""
+MATCH = f"""{CAND}, th AS (SELECT unnest({{ths}})::DOUBLE AS iou),
+  o AS (SELECT iou, image, pred, gold, row_number() OVER (PARTITION BY iou, image ORDER BY score DESC, pred, gold) AS k FROM cand JOIN th ON score >= iou),
+  m AS (SELECT iou, image, k, [pred] AS ps, [gold] AS gs FROM o WHERE k = 1
+    UNION ALL SELECT o.iou, o.image, o.k, CASE WHEN f THEN list_append(ps, pred) ELSE ps END, CASE WHEN f THEN list_append(gs, gold) ELSE gs END
+    FROM m JOIN o ON o.iou = m.iou AND o.image = m.image AND o.k = m.k + 1, LATERAL (SELECT NOT list_contains(ps, pred) AND NOT list_contains(gs, gold) AS f)),
+  n AS (SELECT iou, image, max(len(ps)) AS n FROM m GROUP BY iou, image)"""
+
+
+def _predictions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    gold = _boxes(spark, d)
+    by = (F.col("l_suppkey") % 7) * 0.006
+    moved = F.array(F.col("box")[0] + by, F.col("box")[1], F.col("box")[2] + by, F.col("box")[3])
+    return gold.filter("ix % 4 != 0").withColumn("box", moved), gold
+
+
+def _candidates(pred: DataFrame, gold: DataFrame) -> DataFrame:
+    p = pred.select("image", "label", F.col("ix").alias("pred"), F.col("box").alias("pb"))
+    g = gold.select("image", "label", F.col("ix").alias("gold"), F.col("box").alias("gb"))
+    c = p.join(g, ["image", "label"]).withColumn("score", F.round(geo.iou(F.col("pb"), F.col("gb")), 9))
+    return c.filter("score > 0").select("image", "label", "pred", "gold", "score")
+
+
+@query("box_match", f"WITH RECURSIVE {MATCH.format(ths=[0.5])} SELECT image, n::INT AS n FROM n")
+def box_match(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.greedy_pairs(_candidates(*_predictions(spark, d)).filter("score >= 0.5"), ["image"])
+
+
+@query(
+    "grounding_f1",
+    f"""WITH RECURSIVE {MATCH.format(ths=IOUS)}, t AS (SELECT th.iou, coalesce(sum(n), 0)::BIGINT AS tp FROM th LEFT JOIN n USING (iou) GROUP BY th.iou),
+        f AS (SELECT iou, tp, (SELECT count(*) FROM pred) - tp AS fp, (SELECT count(*) FROM box) - tp AS fn FROM t)
+        SELECT iou, tp, fp, fn, round(CASE WHEN tp > 0 THEN 2 * (tp / (tp + fp)::DOUBLE) * (tp / (tp + fn)::DOUBLE) / (tp / (tp + fp)::DOUBLE + tp / (tp + fn)::DOUBLE) ELSE 0 END, 6) AS f1 FROM f""",
+)
+def grounding_f1(spark: SparkSession, d: str) -> DataFrame:
+    pred, gold = _predictions(spark, d)
+    levels = F.explode(F.filter(F.array(*[F.lit(t) for t in IOUS]), lambda t: t <= F.col("score")))
+    n = metrics.greedy_pairs(_candidates(pred, gold).withColumn("iou", levels), ["iou", "image"]).groupBy("iou").agg(F.sum("n").alias("tp"))
+    every = spark.createDataFrame([(t,) for t in IOUS], "iou double").join(n, "iou", "left").na.fill(0, ["tp"])
+    sizes = pred.agg(F.count("*").alias("n_pred")).crossJoin(gold.agg(F.count("*").alias("n_gold")))  # one row each
+    c = every.crossJoin(F.broadcast(sizes)).select("iou", "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_gold") - F.col("tp")).alias("fn"))
+    return metrics.with_prf(c).select("iou", "tp", "fp", "fn", "f1")
+
+
+@query("coco_map")
+def coco_map(spark: SparkSession, d: str) -> DataFrame:
+    """Average precision by label and IoU; no SQL, checked against a loop in the tests."""
+    pred, gold = _predictions(spark, d)
+    score = (F.pmod(F.col("image") * 31 + F.col("ix") * 7, F.lit(1000)) / 1000.0).alias("det_score")
+    det = pred.select("image", "label", F.col("ix").alias("pred"), score)
+    cand = _candidates(pred, gold).join(det, ["image", "label", "pred"]).select("image", "label", "pred", "gold", F.col("score").alias("iou_of"), "det_score")
+    levels = F.array(*[F.lit(t) for t in (0.5, 0.75)])
+    cand = cand.withColumn("iou", F.explode(F.filter(levels, lambda t: t <= F.col("iou_of")))).drop("iou_of")
+    again = _candidates(pred, gold).select("image", "label", "pred", "gold", F.col("score").alias("o"))
+    cand = cand.join(again, ["image", "label", "pred", "gold"]).withColumn("cut", F.col("iou")).withColumn("iou", F.col("o")).drop("o")
+    marked = metrics.matched_detections(cand, det.withColumn("cut", F.explode(levels)), ["image", "label", "cut"])
+    n_gold = gold.groupBy("label").agg(F.count("*").alias("n_gold")).withColumn("cut", F.explode(levels))
+    return metrics.average_precision(marked, n_gold, ["label", "cut"]).withColumnRenamed("cut", "iou")
+
+
+@query("map_summary")
+def map_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Mean over labels at each IoU, flat."""
+    ap = coco_map(spark, d).filter("ap >= 0")
+    return ap.groupBy("iou").agg(F.round(F.avg("ap"), 6).alias("map"), F.count("*").alias("n_labels"))
