@@ -40,7 +40,7 @@ PULL = 4.0
 #: Candidates of at least this share of the top markable rate count as true when the rate of marks is taken.
 MARKABLE = 0.3
 #: A candidate as markable as this share of a true mention's rate is surely one: what is never personal is hardly ever marked.
-LENIENT = 0.6
+LENIENT = 0.45
 _W = r"[^\W\d_]"
 _WORD = rf"{_W}[\w'’-]*"
 _TOWN = rf"{_W}[\w'’-]+"
@@ -51,13 +51,13 @@ _ES = r"(?:calle|c/|avda\.?|avenida|av\.|plaza|pza\.?|paseo|ronda|camino|carrer)
 _DE = r"(?:stra(?:ß|ss)e|str\.|weg|platz|gasse|allee|ring|damm|ufer|steig)"
 _SEP = r",?\s{1,3}"
 FAMILIES = {
-    "address": re.compile(
-        rf"(?:(?:flat|apt\.?|unit|suite)\s\d{{1,4}}[a-z]?,\s{{1,3}})?\b\d{{1,4}}[a-z]?\s(?:{_WORD}\s){{1,3}}{_EN},\s{{1,3}}{_TOWN}(?:{_SEP}(?:[A-Z]{{2}}\s)?\d{{4,6}}\b)?"
+    "english": re.compile(rf"\d{{1,4}}[a-z]?\s(?:{_WORD}\s){{1,3}}{_EN},\s{{1,3}}{_TOWN}(?:{_SEP}(?:[A-Z]{{2}}\s)?\d{{4,6}}\b)?", re.I),
+    "postcode": re.compile(
+        rf"\b(?:(?:am|an der|auf der|im|zum|zur)\s)?{_W}[\w-]*{_DE}\s?\d{{1,4}}\s?[a-z]?,\s{{1,3}}\d{{5}}\s{_TOWN}"
         rf"|\b\d{{1,4}}(?:\s(?:bis|ter|quater))?,?\s{_FR}\s(?:(?:du|de la|des|de l['’]|de|d['’])\s?)?{_WORD}(?:\s{_WORD})?,\s{{1,3}}\d{{5}}\s{_TOWN}"
         rf"|\b{_ES}\s(?:(?:de la|del|de)\s)?{_WORD}(?:\s{_WORD})?,?\s\d{{1,4}}(?:,\s\d{{1,2}}\s?[ºª°]\w?)?,\s{{1,3}}\d{{5}}\s{_TOWN}",
         re.I,
     ),
-    "german": re.compile(rf"\b(?:(?:am|an der|auf der|im|zum|zur)\s)?{_W}[\w-]*{_DE}\s?\d{{1,4}}\s?[a-z]?,\s{{1,3}}\d{{5}}\s{_TOWN}", re.I),
     "number": re.compile(
         r"(?<![\w#/@.-])(?=[a-z]{0,3} ?[+(]?\d)(?:"
         r"\+\d{1,3}[ .-]?(?:\(\d\)[ .-]?)?\d(?:[\d]|[ .-](?=\d)){5,14}\d"
@@ -76,7 +76,11 @@ FAMILIES = {
 _AT = re.compile(r"\s?@\s?|\s?[\[(]\s?at\s?[\])]\s?", re.I)
 _LOCAL = re.compile(r"[\w.+%-]{1,64}\Z")
 _DOMAIN = re.compile(r"[\w-]{1,60}(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?|\sdot\s)[a-z0-9-]{2,40})+(?<!-)", re.I)
-_GERMAN = re.compile(rf"{_DE}\s?\d", re.I)
+_HOUSE = re.compile(r"(?<![\w.,+/-])\d{1,4}[A-Za-z]?(?=\s[^\W\d_])")
+_POSTCODE = re.compile(r"(?<![\w.-])\d{5}(?=\s[^\W\d_])")
+_FLAT = re.compile(r"\b(?:flat|apt\.?|unit|suite)\s\d{1,4}[a-z]?,\s{1,3}\Z", re.I)
+_BEFORE = re.compile(rf"(?<![\w@.+-])({_W}[\w’'-]{{2,}}),[  \n]\Z")
+_AFTER = re.compile(rf"(?:[  \n]([A-ZÀ-Þ])\.)?(?:[  \n]({_W}[\w’'-]{{2,}}))?")
 _INITIAL = re.compile(rf"(?<![\w.])([A-ZÀ-Þ])\.[  ]({_W}[\w’'-]{{3,}})")
 _TOKEN = re.compile(rf"{_W}+")
 _GAP = "[  \n]"
@@ -95,8 +99,7 @@ class Lexicon:
     def __post_init__(self):
         if self.given:
             names = "|".join(sorted(map(re.escape, self.given), key=len, reverse=True))
-            surname = rf"({_W}[\w’'-]{{2,}})"
-            self.pattern = re.compile(rf"(?<![\w@.+-])(?:{surname},{_GAP})?({names})(?![\w@+]|\.\w|-\w*@)(?:{_GAP}([A-ZÀ-Þ])\.)?(?:{_GAP}{surname})?", re.I)
+            self.pattern = re.compile(rf"(?<![\w@.+-])(?:{names})(?![\w@+]|\.\w|-\w*@)", re.I)
 
     def is_surname(self, word: str | None, like: str) -> bool:
         """A coined word, written as the given name beside it is."""
@@ -131,26 +134,28 @@ def candidates(text: str, lexicon: Lexicon) -> list[Candidate]:
             if local and domain and _LETTER.search(domain[0].rpartition(".")[2].rpartition(" ")[2]):
                 add(local.start(), domain.end(), "email")
     if _DIGIT.search(text):
-        for m in FAMILIES["address"].finditer(text):
-            add(m.start(), m.end(), "address")
-        if _GERMAN.search(text):
-            for m in FAMILIES["german"].finditer(text):
-                add(m.start(), m.end(), "address")
+        for p in _POSTCODE.finditer(text):  # the long patterns only run around a postcode or from a house number
+            for m in FAMILIES["postcode"].finditer(text, max(0, p.start() - 100), min(len(text), p.end() + 60)):
+                if m.start() < p.start() < m.end():
+                    add(m.start(), m.end(), "address")
+        for h in _HOUSE.finditer(text):
+            if m := FAMILIES["english"].match(text, h.start()):
+                flat = _FLAT.search(text, max(0, h.start() - 16), h.start())
+                add(flat.start() if flat else m.start(), m.end(), "address")
         for m in FAMILIES["number"].finditer(text):
             add(m.start(), m.end(), "number")
     if lexicon.pattern and not lexicon.given.isdisjoint(_TOKEN.findall(text.lower())):
-        at = 0
-        while m := lexicon.pattern.search(text, at):
-            before, given, initial, after = m.groups()
-            start, end = m.start(2), m.end(2)
+        for m in lexicon.pattern.finditer(text):
+            start, end, given = m.start(), m.end(), m[0]
+            tail = _AFTER.match(text, end)
+            initial, after = tail.groups()
             if after and lexicon.is_surname(after, given):
-                end = m.end(4)
+                end = tail.end()
             elif initial and not after:
-                end = m.end(3) + 1
-            elif before and lexicon.is_surname(before, given) and not initial:
-                start = m.start(1)
+                end = tail.end()
+            elif not initial and (before := _BEFORE.search(text, max(0, start - 48), start)) and lexicon.is_surname(before[1], given):
+                start = before.start()
             add(start, end, "name")
-            at = max(end, m.start() + 1)
     for m in _INITIAL.finditer(text):
         if lexicon.is_surname(m[2], m[1]):
             add(m.start(), m.end(), "initial")
