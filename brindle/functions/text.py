@@ -7,6 +7,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Letters, digits and underscores of any script: what a word character is in Python and RE2 alike.
 WORD = r"[\p{L}\p{N}_]+"
@@ -31,7 +32,10 @@ _WORDS = re.compile(r"\w+")
 _TOKEN_TYPE = pa.list_(pa.struct([("tok", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-@F.arrow_udf("array<struct<tok:string,start:int,end:int>>")
+_SPARK_TYPE = T.ArrayType(T.StructType([T.StructField("tok", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+
+
+@F.arrow_udf(_SPARK_TYPE)
 def _offsets(texts: pa.Array) -> pa.Array:
     lengths, toks, starts, ends = [0], [], [], []
     valid = []
