@@ -98,7 +98,7 @@ def violations(box: Column, label: Column) -> Column:
         F.array(
             err(F.size(box) != 4, "box has 4 numbers"),
             err(F.exists(box, lambda v: (v < 0) | (v > 1)), "box within [0, 1]"),
-            err((box[2] <= box[0]) | (box[3] <= box[1]), "box has extent"),
+            err((F.get(box, F.lit(2)) <= F.get(box, F.lit(0))) | (F.get(box, F.lit(3)) <= F.get(box, F.lit(1))), "box has extent"),
             err(F.coalesce(F.trim(label), F.lit("")) == "", "label"),
         )
     )

@@ -1,3 +1,3 @@
 """The registered queries, one module a group."""
 
-from brindle.plans.queries import boxes, metrics, pairs, retrieval, scans, spans, text  # noqa: F401
+from brindle.plans.queries import boxes, contracts, metrics, pairs, retrieval, scans, spans, text  # noqa: F401
