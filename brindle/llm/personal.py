@@ -382,9 +382,16 @@ def fit(rows: list[tuple[str, list]], rounds: int = 150) -> FieldModel:
 
 
 def fit_on(df: DataFrame, key: str, text: str = "text", spans: str = "spans", sample: int = SAMPLE) -> FieldModel:
-    """Fit on the at most ``sample`` rows with the smallest hashes of their ids."""
-    few = df.filter(F.col(text).rlike(r"\S")).orderBy(F.xxhash64(key), key).select(text, spans).limit(sample)
-    return fit([(r[0], r[1]) for r in few.collect()])
+    """Fit on the at most ``sample`` rows with the smallest hashes of their ids.
+
+    A count sets the hash bound that a little more than ``sample`` rows pass, so
+    the tasks send the driver about the sample, however many they are.
+    """
+    marked = df.filter(F.col(text).rlike(r"\S")).select(key, text, spans, F.pmod(F.xxhash64(key), F.lit(1 << 40)).alias("_h"))
+    total = marked.count()
+    bound = int((1 << 40) * min(1.0, (sample + 6 * sample**0.5) / max(1, total)))
+    few = marked.filter(F.col("_h") <= bound).orderBy("_h", key).limit(sample)
+    return fit([(r[1], r[2]) for r in few.collect()])
 
 
 def find_personal(df: DataFrame, key: str, model: FieldModel, text: str = "text") -> DataFrame:
