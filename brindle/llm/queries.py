@@ -44,7 +44,7 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_limits(spark: SparkSession, d: str) -> DataFrame:
     """The lengths at which each source cuts."""
-    src = truncation.prepared(_answered(spark, d), "resp_id", "text", "source", None, None)
+    src = truncation.prepared(_answered(spark, d), "resp_id", "text", "source", None, "completion_tokens")
     return truncation.cut_lengths(src).select("source", "unit", "length", "n", "at_risk", F.round("log_p", 3).alias("log_p"))
 
 

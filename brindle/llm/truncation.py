@@ -33,14 +33,19 @@ WIDTH = 120
 #: A word counts as known from so many uses, as a possible ending from so many and this share of its uses.
 MIN_WORD = 5
 MIN_ENDINGS = 3
-LEAST_ENDING = 0.001
+LEAST_ENDING = 0.004
 #: A JSON key whose last values lack a closing mark this rarely always has one.
 MOST_WITHOUT = 0.05
 #: A text holds about four characters a token; below this many it lacks what was paid for.
 CHARS_A_TOKEN = 3.2
 MIN_TOKENS = 8
 ALPHA = 1e-3
+#: A possible ending counts as cut by its length or tokens only in a text of so many characters.
+LEAST_CUT = 20
 NEIGHBOURS = 10
+#: Token counts bunch in a narrow hump, so that only the next few are comparable.
+NEAR_TOKENS = 3
+UNITS = ("chars", "bytes", "tokens")
 _STOPS, _CLOSERS, _AFTER_VALUE = frozenset(".!?"), "\"'”’»)*_", frozenset(",}]")
 _DIGITS = re.compile(r"\d")
 _AROUND = "\"'.,;:!?()[]{}<>*_`“”«»„…–—-"
@@ -118,7 +123,8 @@ def counts(src: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``ends`` has how often a word ends a finished sentence or string value, of
     texts without a cut mark.  Names are coined without end, so a capitalised
-    word also counts as "a name after that word", ``<word before> <name>``.
+    word also counts as "a name after that word", ``<word before> <name>``; a
+    number counts with the word before it, so that a year of three digits shows.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,6 +141,9 @@ def counts(src: DataFrame) -> tuple[DataFrame, DataFrame]:
                 clean[True, _DIGITS.sub("0", word.lower())] += n
                 if word[0].isupper():
                     clean[True, _DIGITS.sub("0", before.lower()) + " <name>"] += n
+                elif word[-1].isdigit():
+                    clean[True, _DIGITS.sub("0", f"{before} {word}".lower())] += n
+                    clean[True, _DIGITS.sub("0", before.lower()) + " <number>"] += n
             words.clear()
             ends.clear()
             return pa.RecordBatch.from_pydict({"is_end": pa.array([k[0] for k in clean], pa.bool_()), "word": pa.array([k[1] for k in clean], pa.string()), "n": pa.array(clean.values(), pa.int64())})
@@ -183,16 +192,18 @@ def _inner(rest: Column) -> Column:
 def cut_lengths(lengths: DataFrame, alpha: float = ALPHA, near: int = NEIGHBOURS) -> DataFrame:
     """``(source, unit, length, n, at_risk, log_p)`` of the lengths at which a source cuts.
 
-    ``lengths`` has a row for each text: ``source`` and ``chars`` and ``bytes``.
+    ``lengths`` has a row for each text: ``source`` and ``chars``, ``bytes`` and ``tokens`` (maybe null).
     The p value is the Chernoff bound of a Poisson count, valid at every size;
     Benjamini-Hochberg holds the share of false lengths below ``alpha``.
     """
-    counted = lengths.select("source", F.explode(F.create_map(F.lit("chars"), "chars", F.lit("bytes"), "bytes")).alias("unit", "length"))
+    units = F.create_map(*[x for u in UNITS for x in (F.lit(u), F.col(u).cast("int"))])
+    counted = lengths.select("source", F.explode(units).alias("unit", "length")).filter("length IS NOT NULL")
     counted = cut(counted.groupBy("source", "unit", "length").agg(F.count("*").alias("n")))
     by = Window.partitionBy("source", "unit").orderBy("length")
     risk = counted.withColumn("at_risk", F.sum("n").over(by.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, 0)))
-    around = by.rangeBetween(-near, near)
-    h = risk.withColumn("others", F.sum("n").over(around) - F.col("n")).withColumn("other_risk", F.sum("at_risk").over(around) - F.col("at_risk"))
+    wide, close = by.rangeBetween(-near, near), by.rangeBetween(-min(near, NEAR_TOKENS), min(near, NEAR_TOKENS))
+    around = lambda c: F.when(F.col("unit") == "tokens", F.sum(c).over(close)).otherwise(F.sum(c).over(wide)) - F.col(c)
+    h = risk.withColumn("others", around("n")).withColumn("other_risk", around("at_risk"))
     mean = F.col("at_risk") * (F.col("others") + 1) / (F.col("other_risk") + F.col("at_risk"))
     h = h.withColumn("mean", mean)
     log_p = F.when(F.col("n") > F.col("mean"), F.col("n") - F.col("mean") - F.col("n") * F.log(F.col("n") / F.col("mean"))).otherwise(0.0)
@@ -227,15 +238,17 @@ def suspects(src: DataFrame) -> DataFrame:
     end = F.when(F.col("is_json"), _inner(F.col("rest"))).otherwise(F.col("rest"))
     last, before = last_words(F.col("end"))
     out = src.withColumn("open", F.col("is_json") & unbalanced(F.col("text"))).withColumn("end", end)
-    out = out.filter(F.col("open") | ~finished(F.col("end")))
+    out = out.withColumn("half", ~F.col("is_json") & F.rtrim("text").endswith("�"))
+    out = out.filter(F.col("open") | F.col("half") | ~finished(F.col("end")))
     tail = F.right(F.regexp_replace(F.lower("end"), r"[^\p{L}\p{N}]+", ""), F.lit(14))
     asked = F.regexp_replace(F.lower(F.coalesce("prompt", F.lit(""))), r"[^\p{L}\p{N}]+", "")
     out = out.withColumn("last", last).withColumn("before", before)
-    name = F.col("last").rlike(r"\A\p{Lu}")
+    name, number = F.col("last").rlike(r"\A\p{Lu}"), F.col("last").rlike(r"\A[^\p{Lu}].*\d\z|\A\d\z")
     return out.select(
-        "key", "source", "is_json", "open", "marked", "chars", "bytes", "tokens", "end",
+        "key", "source", "is_json", "open", "half", "marked", "chars", "bytes", "tokens", "end",
         word_key(F.col("last")).alias("word"),
-        F.when(name, F.concat(word_key(F.col("before")), F.lit(" <name>"))).alias("name"),
+        F.when(name, F.concat(word_key(F.col("before")), F.lit(" <name>"))).when(number, F.concat(word_key(F.col("before")), F.lit(" "), word_key(F.col("last")))).alias("name"),
+        F.when(number, F.concat(word_key(F.col("before")), F.lit(" <number>"))).alias("number"),
         F.when(F.col("is_json"), last_key(F.col("text"))).alias("json_key"),
         (F.col("is_json") & F.right("text", F.lit(WIDTH)).rlike(rf"(?i)(?:{CUT_MARK})[\"'}}\]\s`]*\z")).alias("inside_mark"),
         (F.char_length("before") > 0).alias("several"),
@@ -262,24 +275,28 @@ def truncated(
     ends, words = counts(src)
     known = beginnings(words)
     limits = cut(cut_lengths(src))
-    at = {u: limits.filter(F.col("unit") == u).select("source", F.col("length").alias(u), F.lit(True).alias(f"at_{u}")) for u in ("chars", "bytes")}
+    at = {u: limits.filter(F.col("unit") == u).select("source", F.col("length").alias(u), F.lit(True).alias(f"at_{u}")) for u in UNITS}
     s = suspects(src).join(ends.select("word", F.col("n").alias("ends")), "word", "left")
     s = s.join(ends.select(F.col("word").alias("name"), F.lit(True).alias("name_ends")), "name", "left").join(known, "word", "left")
+    s = s.join(ends.select(F.col("word").alias("number"), F.lit(True).alias("number_ends")), "number", "left")
     s = s.join(closing_keys(src), "json_key", "left")
-    s = s.join(F.broadcast(at["chars"]), ["source", "chars"], "left").join(F.broadcast(at["bytes"]), ["source", "bytes"], "left")
+    for u in UNITS:
+        s = s.join(F.broadcast(at[u]), ["source", u], "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     rare = F.col("total").isNull()
     ends_here = (F.col("ends") >= F.greatest(F.lit(MIN_ENDINGS), F.coalesce("total", F.lit(0)) * LEAST_ENDING)) | yes("name_ends") | F.col("no_word") | (rare & F.col("name").isNull())
-    ends_here = F.coalesce(ends_here, F.lit(False))
+    ends_here = F.coalesce(ends_here, F.lit(False)) & ~(yes("number_ends") & ~yes("name_ends"))
     missing = (F.col("tokens") >= MIN_TOKENS) & (F.col("chars") < F.col("tokens") * CHARS_A_TOKEN)
     prose = ~F.col("is_json") & F.col("several") & ~F.col("filler")
+    cuttable = prose & ~F.col("asked") & (F.char_length("end") >= LEAST_CUT) & F.col("end").rlike(r"[\p{L}\d][\s\"'”’»]*\z")
     reason = (
         F.when(F.col("open"), "open_json")
+        .when(F.col("half"), "mark")
         .when(F.col("is_json"), F.when(F.col("inside_mark"), "mark").when(F.col("several") & (yes("closes") | (~rare & ~ends_here)), "word"))
         .when(F.col("marked") & F.col("end").rlike(r"\p{L}"), "mark")
         .when(prose & ~F.col("asked") & (F.col("open_mark") | ~ends_here), "word")
-        .when(prose & ~F.col("asked") & (yes("at_chars") | yes("at_bytes")), "length")
-        .when(prose & ~F.col("asked") & missing, "tokens")
+        .when(cuttable & (yes("at_chars") | yes("at_bytes") | yes("at_tokens")), "length")
+        .when(cuttable & missing, "tokens")
     )
     return s.withColumn("reason", reason).filter("reason IS NOT NULL").select("key", "source", "reason")
 
