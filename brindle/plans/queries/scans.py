@@ -53,7 +53,7 @@ def split_limit(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "combine_sources",
-    """SELECT source, language, count(*) AS n, sum(n_spans) AS n_spans FROM (
+    """SELECT source, language, count(*) AS n, sum(n_spans)::BIGINT AS n_spans FROM (
          SELECT coalesce(source, 'annotated') AS source, language, coalesce(len(spans), 0) AS n_spans FROM annotated
          UNION ALL SELECT 'documents', lang, 0 FROM documents) GROUP BY ALL""",
 )

@@ -115,7 +115,7 @@ def bio_decode(spark: SparkSession, d: str) -> DataFrame:
 
 CHUNKED = f"""{WORDS}, n AS (SELECT ann_id, count(*) AS n FROM t GROUP BY ann_id),
   k AS (SELECT ann_id, n, unnest(range(greatest(0, ceil((n - 384) / 320.0))::BIGINT + 1)) AS k FROM n),
-  c AS (SELECT k.ann_id, k.k AS chunk_ix, CASE WHEN n <= 384 THEN 0 ELSE f.a END AS a, CASE WHEN n <= 384 THEN length(x.text) ELSE l.b END AS b
+  c AS (SELECT k.ann_id, k.k AS chunk_ix, CASE WHEN n <= 384 THEN 0 ELSE f.a END AS a, CASE WHEN n <= 384 THEN length(x.text)::INT ELSE l.b END AS b
         FROM k JOIN t f ON f.ann_id = k.ann_id AND f.ix = k * 320 JOIN t l ON l.ann_id = k.ann_id AND l.ix = least(k * 320 + 384, n) - 1 JOIN annotated x ON x.ann_id = k.ann_id)"""
 
 
