@@ -1,45 +1,48 @@
 """Records that stand, exactly or almost, on both sides of a split (problem 4).
 
-A sparse suffix array over word sequences, kept as a distributed table: of every
-distinct text (copies share a class and appear once) the suffixes that start at
-its content-chosen anchors are stored under hashes of their first 6, 16 and 48
-words.  Suffixes of a train and a held-out class that fall together share that
-long a prefix; where too many do, the prefix is lengthened, and suffixes equal
-to the last level are linked to their neighbours in order.  Pairs of classes
-that share enough suffixes and could agree by their lengths are merged into
-coverage exactly: the longest common subsequence of their words.
+A prefix filter over word multisets, kept as a distributed table.  Of a text's
+``n`` words at most ``n // 6`` may be unmatched, so with all words in one global
+order, rare ones first, the first matched word is among the first ``n // 6 + 1``
+of either text, and the second one among the first ``n // 6 + 2``.  By the first
+field every distinct text (copies share a class and appear once) is stored under those
+words, or under pairs of them where a word alone is common; texts of a train
+and a held-out record that share a key and could agree by their lengths and
+word sets are merged into coverage exactly: the longest common subsequence of
+their words.  No pair is lost: the order and the common words, taken from a
+sample, only decide how many pairs are compared.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.plans.durable import cut
 
 AGREE = 5 / 6
-#: Words of a suffix's prefix by level, for long texts; texts of fewer than SHORT words use SHORT_LEVELS.
-LEVELS = (6, 16, 48)
-SHORT_LEVELS = (3, 6, 12)
-SHORT = 26
-#: Anchors of a long text: its windows with the smallest hashes.  A short text keeps all its windows.
-ANCHORS = 24
-LEAST_SHARED = 2
-#: Suffixes of a block on one side beyond which the block is cut by a longer prefix.
-HOT = 48
+#: Texts from which the order of words and the common words are taken; any order gives the same result.
+ORDER_SAMPLE = 20_000
+#: Texts of like length holding a word beyond which it is stored in pairs with the next words; texts of PAIRED words or more never do.
+COMMON = 1000
+PAIRED = 300
+#: Words from which the word set of a first field is also compared in 1,024 bits.
+LONG = 100
+#: Rows of a batch of keys.
+ROWS = 100_000
 MOST_BROADCAST = 200_000
 _TAG = re.compile(r"<[^<>\n]{1,60}>|&[a-z]{2,8};|&#\d{1,6};")
 _WORD = re.compile(r"[^\W_]+")
 _HIDDEN = re.compile(r"[­​-‏⁠﻿]")
-_BASE = 0x9E3779B97F4A7C15
-_POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def words(text: str | None) -> list[str]:
@@ -56,40 +59,64 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2 ** 64, at least ``n`` of them."""
-    if len(_POWERS["up"]) < n:
-        size = 1 << max(10, n.bit_length())
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
 
 
-def suffixes(h: np.ndarray, short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the three prefixes of each anchored suffix; beyond the end of a text nothing is added.
+def _band(n: int) -> int:
+    """Band of a length; lengths that could agree are in the same or in neighbouring bands."""
+    return int(math.log(n) / math.log(1.200001))
 
-    A running sum of word hashes over falling powers gives the polynomial hash
-    of any stretch of words with one subtraction and one multiplication.
-    """
-    levels = SHORT_LEVELS if short else LEVELS
+
+_PAIRED_BAND = _band(PAIRED)
+
+
+@dataclass(frozen=True)
+class Order:
+    """How often a sample has a word, and the words common in a band of lengths."""
+
+    known: np.ndarray  # hashes, ascending
+    uses: np.ndarray
+    common: np.ndarray  # hashes of word and band, ascending
+
+    def is_common(self, h: np.ndarray, band: int) -> np.ndarray:
+        return _among(_in_band(h, band), self.common)[0]
+
+
+def _among(x: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each of ``x`` is in ascending ``known``, and where."""
+    if not len(known):
+        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    return known[at] == x, at
+
+
+def _in_band(h: np.ndarray, band: int) -> np.ndarray:
+    return _mixed(h + np.uint64(0x9E3779B97F4A7C15 * (band + 1) % (1 << 64)))
+
+
+def prefix_keys(h: np.ndarray, order: Order, bands: list[int]) -> np.ndarray:
+    """Keys, by band, of which two texts that agree in 5 of 6 words share one at least."""
     n = len(h)
-    up, down = _powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(h * down[:n], out=sums[1:])
-    every = max(1, n - levels[0] + 1)
-    first = _mixed((sums[np.minimum(n, np.arange(levels[0], levels[0] + every))] - sums[:every]) * up[:every])
-    one, at = np.unique(first, return_index=True)
-    if not short and len(one) > ANCHORS:
-        one, at = one[:ANCHORS], at[:ANCHORS]
-    rest = [_mixed((sums[np.minimum(n, at + w)] - sums[at]) * up[at] + np.uint64(w)) for w in levels[1:]]
-    return one, *rest
+    there, at = _among(h, order.known)
+    uses = np.where(there, order.uses[at], 0) if len(order.known) else np.zeros(n, np.int64)
+    first = h[np.lexsort((h, uses))][: n // 6 + 2]
+    new = np.ones(len(first), bool)
+    new[1:] = first[1:] != first[:-1]
+    starts = np.flatnonzero(new[: n // 6 + 1])
+    heads = first[starts]
+    out = []
+    for band in bands:
+        own = _in_band(heads, band)
+        if band >= _PAIRED_BAND or n < 2:
+            out.append(own)
+            continue
+        paired = order.is_common(heads, band)
+        out.append(own[~paired])
+        for i in np.flatnonzero(paired):
+            out.append(_mixed(own[i] ^ _mixed(np.unique(first[starts[i] + 1 :]) + np.uint64(1))))
+    return np.unique(np.concatenate(out))
 
 
 class _Hashes(dict):
@@ -109,83 +136,122 @@ def _classes(parts: list[list[str]], known: _Hashes) -> tuple[np.ndarray, int]:
     return h, int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes() + cuts)).astype(np.int64))
 
 
-def least_shared(n: Column) -> Column:
-    """Windows that two short texts of at most ``n`` words share if 5 in 6 words agree in order."""
-    level = SHORT_LEVELS[0]
-    return F.greatest(F.lit(1), n - level + 1 - level * F.ceil(n * (1 - AGREE)))
+def classes(df: DataFrame) -> DataFrame:
+    """``(key, train, class)`` of ``(key, train, texts array<string>)``; texts without words drop out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for batch in batches:
+            at, found = [], []
+            for i, texts in enumerate(batch.column(2).to_pylist()):
+                parts = [words(t) for t in texts]
+                if all(parts):
+                    at.append(i)
+                    found.append(_classes(parts, known)[1])
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(found, pa.int64())], ["key", "train", "class"])
+
+    return df.select("key", "train", "texts").mapInArrow(run, "key bigint, train boolean, class bigint")
 
 
-def sketches(df: DataFrame) -> DataFrame:
-    """``(key, train, class, n, suffixes)`` of ``(key, train, texts array<string>)``; texts without words drop out."""
+def word_order(df: DataFrame, sample: int = ORDER_SAMPLE) -> Order:
+    """The order of words by their uses in the first field of about ``sample`` rows."""
+    total = max(1, df.count())
+    share = min(1.0, sample / total)
+    few = df.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 40)) <= int((1 << 40) * share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
-        kind = pa.struct([("a", pa.int64()), ("b", pa.int32()), ("c", pa.int32()), ("short", pa.bool_())])
         for batch in batches:
-            at, found, ns, offsets, a, b, c, s = [], [], [], [0], [], [], [], []
-            for i, texts in enumerate(batch.column(2).to_pylist()):
+            seen: Counter[tuple[int, int]] = Counter()
+            for text in batch.column(0).to_pylist():
+                if own := words(text):
+                    band = _band(len(own))
+                    seen.update({(known[w], band) for w in own})
+            h = np.array([k[0] for k in seen], np.uint64).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([k[1] for k in seen], pa.int32()), pa.array(seen.values(), pa.int64())], ["h", "band", "c"])
+
+    counted = few.select(F.get("texts", F.lit(0)).alias("text")).mapInArrow(run, "h bigint, band int, c bigint").groupBy("h", "band").agg(F.sum("c").alias("c")).filter("c > 1").toArrow()
+    h = counted.column("h").to_numpy().astype(np.uint64)
+    band, c = counted.column("band").to_numpy(), counted.column("c").to_numpy().astype(np.int64)
+    known, at = np.unique(h, return_inverse=True)
+    often = c > COMMON * share
+    common = [_in_band(h[often & (band == b)], int(b)) for b in np.unique(band[often])]
+    return Order(known, np.bincount(at, c, len(known)).astype(np.int64), np.unique(np.concatenate(common)) if common else np.zeros(0, np.uint64))
+
+
+def _bits(h: np.ndarray, size: int = 4) -> list[int]:
+    """The word set of a text in ``size`` times 64 bits, ``size`` a power of 2."""
+    bits = [0] * size
+    for b in np.unique(h >> np.uint64(59 - size.bit_length())).tolist():
+        bits[b >> 6] |= 1 << (b & 63)
+    return bits
+
+
+def keyed(df: DataFrame, train: bool, order: Order) -> DataFrame:
+    """``(k, class, n, s0 .. s3, m, t0 .. t3, wide)`` of ``texts``: a row for each key of each text.
+
+    ``n`` and ``s`` are the length and the word set of the first field, ``m`` and
+    ``t`` those of the others.  The held-out side, the smaller as a rule, is
+    looked up in the neighbouring bands of lengths.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(order)
+    names = ["k", "class", "n", "s0", "s1", "s2", "s3", "m", "t0", "t1", "t2", "t3", "wide"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, order = _Hashes(), shared.value
+        keys, rows, total = [], [], 0
+
+        def made() -> pa.RecordBatch:
+            times = np.array([len(k) for k in keys])
+            ints = np.repeat(np.array([r[:3] for r in rows], np.int64), times, axis=0)
+            bits = np.repeat(np.array([r[3] for r in rows], np.uint64).astype(np.int64), times, axis=0)
+            s, t = ([np.ascontiguousarray(bits[:, i + j]) for j in range(4)] for i in (0, 4))
+            flat = [np.concatenate(keys).astype(np.int64), np.ascontiguousarray(ints[:, 0]), ints[:, 1].astype(np.int32), *s, ints[:, 2].astype(np.int32), *t]
+            wide = pa.array([np.array(r[4], np.uint64).astype(np.int64) for r in rows], pa.list_(pa.int64())).take(pa.array(np.repeat(np.arange(len(rows)), times)))
+            return pa.RecordBatch.from_arrays([*(pa.array(x) for x in flat), wide], names)
+
+        for batch in batches:
+            for texts in batch.column(0).to_pylist():
                 parts = [words(t) for t in texts]
                 if not all(parts):
                     continue
                 h, own = _classes(parts, known)
-                n = len(h)
-                at.append(i)
-                ns.append(n)
-                found.append(own)
-                total = 0
-                # near the limit both kinds, so that texts of differing lengths still meet
-                for short in ([True] if n < SHORT else []) + ([False] if n >= SHORT * AGREE else []):
-                    x, y, z = suffixes(h, short)
-                    a.append(x)
-                    b.append(y)
-                    c.append(z)
-                    s.append(np.full(len(x), short))
-                    total += len(x)
-                offsets.append(offsets[-1] + total)
-            take = pa.array(at, pa.int64())
-            flat = [np.concatenate(v) if v else np.zeros(0, np.uint64) for v in (a, b, c)]
-            rows = pa.StructArray.from_arrays(
-                [pa.array(flat[0].astype(np.int64)), pa.array(flat[1].astype(np.uint32).astype(np.int32)), pa.array(flat[2].astype(np.uint32).astype(np.int32)), pa.array(np.concatenate(s) if s else np.zeros(0, bool), pa.bool_())],
-                fields=list(kind),
-            )
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(found, pa.int64()), pa.array(ns, pa.int32()), lists], ["key", "train", "class", "n", "suffixes"]
-            )
-
-    return df.select("key", "train", "texts").mapInArrow(run, "key bigint, train boolean, class bigint, n int, suffixes array<struct<a bigint, b int, c int, short boolean>>")
-
-
-def _pairs(block: DataFrame, on: list[str]) -> DataFrame:
-    """Train and held-out classes that share a block and could agree by length."""
-    t = block.filter("train").select(*on, F.col("class").alias("x"), F.col("n").alias("nx"))
-    o = block.filter("NOT train").select(*on, F.col("class").alias("y"), F.col("n").alias("ny"))
-    fits = (F.least("nx", "ny") >= AGREE * F.greatest("nx", "ny")) & (F.col("x") != F.col("y"))
-    return t.join(o, on).filter(fits).select("x", "y", "short", F.greatest("nx", "ny").alias("n"))
-
-
-def candidates(sketched: DataFrame) -> DataFrame:
-    """``(x, y)``: classes of which a train and a held-out record share enough suffixes."""
-    rows = sketched.select("class", "train", "n", F.explode("suffixes").alias("s")).select("class", "train", "n", "s.*")
-    rows = rows.repartition("a", "short")  # the one large shuffle: copies, block sizes and hot blocks all follow this partitioning
-    rows = rows.groupBy("a", "short", "train", "class").agg(F.first("n").alias("n"), F.first("b").alias("b"), F.first("c").alias("c"))
-    sides = lambda *on: [F.count_if("train").over(Window.partitionBy(*on)).alias("t"), F.count_if(~F.col("train")).over(Window.partitionBy(*on)).alias("o")]
-    both = rows.select("*", *sides("a", "short")).filter("t > 0 AND o > 0")
-    hot = (F.col("t") > HOT) & (F.col("o") > HOT) | (F.col("t") * F.col("o") > HOT * HOT)
-    both = cut(both.withColumn("hot", hot))
-    plain = _pairs(both.filter("NOT hot"), ["a", "short"])
-    second = both.filter("hot").drop("t", "o").select("*", *sides("a", "short", "b")).filter("t > 0 AND o > 0").withColumn("hot", hot)
-    longer = _pairs(second.filter("NOT hot"), ["a", "short", "b"])
-    third = second.filter("hot").drop("t", "o").select("*", *sides("a", "short", "b", "c")).filter("t > 0 AND o > 0").withColumn("hot", hot)
-    longest = _pairs(third.filter("NOT hot"), ["a", "short", "b", "c"])
-    order = Window.partitionBy("a", "short", "b", "c").orderBy("n", "class")
-    after = third.filter("hot").select("*", *[F.lead(F.struct("class", "train", "n"), k).over(order).alias(f"next{k}") for k in (1, 2, 3)])
-    near = after.select("class", "train", "n", "short", F.explode(F.array_compact(F.array("next1", "next2", "next3"))).alias("o")).filter("train != o.train AND class != o.class")
-    near = near.select(F.when(F.col("train"), F.col("class")).otherwise(F.col("o.class")).alias("x"), F.when(F.col("train"), F.col("o.class")).otherwise(F.col("class")).alias("y"), "short", F.greatest("n", "o.n").alias("n"))
-    links = plain.unionByName(longer).unionByName(longest)
-    counted = links.groupBy("x", "y", "short").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
-    enough = F.when(F.col("short"), F.col("shared") >= least_shared(F.col("n"))).otherwise(F.col("shared") >= LEAST_SHARED)
-    return counted.filter(enough).select("x", "y").unionByName(near.select("x", "y")).distinct()
+                n = len(parts[0])
+                band = _band(n)
+                keys.append(prefix_keys(h[:n], order, [band] if train else [band - 1, band, band + 1]))
+                rows.append((own, n, len(h) - n, _bits(h[:n]) + _bits(h[n:]), _bits(h[:n], 16) if n >= LONG else []))
+                total += len(keys[-1])
+                if total >= ROWS:
+                    yield made()
+                    keys, rows, total = [], [], 0
+        if total:
+            yield made()
+
+    sides = df.filter("train" if train else "NOT train").select("texts")
+    return sides.mapInArrow(run, "k bigint, class bigint, n int, s0 bigint, s1 bigint, s2 bigint, s3 bigint, m int, t0 bigint, t1 bigint, t2 bigint, t3 bigint, wide array<bigint>")
+
+
+def candidates(df: DataFrame) -> DataFrame:
+    """``(x, y)``: classes of a train and a held-out record that share a key and could agree by lengths and word sets."""
+    order = word_order(df)
+
+    def side(train: bool, own: str) -> DataFrame:
+        rows = keyed(df, train, order).repartition("k").dropDuplicates(["k", "class"])  # the join follows this partitioning
+        return rows.select("k", *[F.col(c).alias(own + c) for c in rows.columns if c != "k"])
+
+    def agree(n: str, s: str) -> Column:
+        x, y = F.col("x" + n), F.col("y" + n)
+        missing = lambda a, b: sum((F.bit_count(F.col(f"{a}{s}{j}").bitwiseAND(F.bitwise_not(f"{b}{s}{j}"))) for j in range(4)), F.lit(0))
+        least = 5 * F.greatest(x, y)
+        return (6 * F.least(x, y) >= least) & (6 * (x - missing("x", "y")) >= least) & (6 * (y - missing("y", "x")) >= least)
+
+    def agree_widely(a: str, b: str) -> Column:
+        missing = F.aggregate(F.zip_with(f"{a}wide", f"{b}wide", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda total, c: total + c)
+        return 6 * (F.col(a + "n") - F.coalesce(missing, F.lit(0))) >= 5 * F.greatest("xn", "yn")  # null where one text alone is long
+
+    fits = agree("n", "s") & agree("m", "t") & agree_widely("x", "y") & agree_widely("y", "x") & (F.col("xclass") != F.col("yclass"))
+    return side(True, "x").join(side(False, "y"), "k").filter(fits).select(F.col("xclass").alias("x"), F.col("yclass").alias("y")).distinct()
 
 
 def agreeing(a: list[str], b: list[str]) -> int:
@@ -220,9 +286,8 @@ def cross_split(df: DataFrame) -> DataFrame:
     once; an empty table gives no rows.
     """
     df = df.filter(F.col("train").isNotNull() & F.col("key").isNotNull())
-    sketched = cut(sketches(df))
-    members = sketched.select("key", "train", "class").distinct()
-    linked = cut(candidates(sketched))
+    members = cut(classes(df).distinct())
+    linked = cut(candidates(df))
     heads = members.groupBy("class").agg(F.min("key").alias("key"))
     wanted = linked.select(F.col("x").alias("class")).unionAll(linked.select(F.col("y").alias("class"))).distinct().join(heads, "class")
     few = linked.count() <= MOST_BROADCAST

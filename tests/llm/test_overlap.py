@@ -56,3 +56,20 @@ def test_pairs_against_brute_force(spark):
     got = {tuple(r) for r in overlap.cross_split(df).collect()}
     assert len(want) > 1200 and got == want
     assert overlap.cross_split(df.limit(0)).count() == 0
+
+
+def found(spark, rows):
+    df = spark.createDataFrame([(i, train, [text]) for i, (train, text) in enumerate(rows)], "key bigint, train boolean, texts array<string>")
+    return {tuple(r) for r in overlap.cross_split(df).collect()}
+
+
+def test_every_pair_of_a_large_group_of_near_copies(spark):
+    rnd = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(260):
+        near = list(base)
+        for at in rnd.sample(range(120), 2):
+            near[at] = f"new{i}x{at}"
+        rows.append((i >= 60, " ".join(near)))
+    assert found(spark, rows) == {(a, b) for a in range(60) for b in range(60, 260)}
