@@ -73,3 +73,17 @@ def test_every_pair_of_a_large_group_of_near_copies(spark):
             near[at] = f"new{i}x{at}"
         rows.append((i >= 60, " ".join(near)))
     assert found(spark, rows) == {(a, b) for a in range(60) for b in range(60, 260)}
+
+
+def test_repeated_phrases(spark):
+    phrase = ("please call us " * 7).split()[:20]
+    rows = [(True, " ".join(phrase)), (False, " ".join(phrase[:-1] + ["now"])), (True, "no " * 40), (False, "no " * 40 + "yes"), (False, "yes " * 40)]
+    assert found(spark, rows) == {(0, 1), (2, 3)}
+
+
+def test_words_left_out_at_some_places_and_put_in_at_others(spark):
+    base = [f"w{i}" for i in range(24)]
+    near = [w for i, w in enumerate(base) if i not in (4, 10, 16, 22)]
+    for at in (19, 13, 7, 1):
+        near.insert(at, f"new{at}")
+    assert found(spark, [(True, " ".join(base)), (False, " ".join(near))]) == {(0, 1)}
