@@ -87,3 +87,11 @@ def test_words_left_out_at_some_places_and_put_in_at_others(spark):
     for at in (19, 13, 7, 1):
         near.insert(at, f"new{at}")
     assert found(spark, [(True, " ".join(base)), (False, " ".join(near))]) == {(0, 1)}
+
+
+def test_every_sixth_word_changed(spark):
+    for n in (6, 18, 26, 36, 60, 120, 600):
+        base = [f"w{i}" for i in range(n)]
+        near = [f"new{i}" if i % 6 == 5 else w for i, w in enumerate(base)]
+        far = ["other" if i % 6 == 5 or i == 0 else w for i, w in enumerate(base)]
+        assert found(spark, [(True, " ".join(base)), (False, " ".join(near)), (False, " ".join(far))]) == {(0, 1)}, n
