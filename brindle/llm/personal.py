@@ -8,14 +8,15 @@ address); loopy message passing settles the labels of the whole text.
 
 The marks to learn from are incomplete, so the unary model learns which
 candidates get marked and divides by the share of true mentions that are marked.
-Given names and common words are learned from the same bounded sample of texts.
+Given names and common words are counted over all texts, the weights are learned
+from a bounded sample of them.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,6 +34,8 @@ LABELS = {
 #: Texts that the model is fitted on at most.
 SAMPLE = 12_000
 COMMON_SHARE = 0.0006
+#: Marked names that a given name is the first word of, at least.
+LEAST_MARKS = 3
 ROUNDS = 12
 #: Features seen less often are one feature; a weight's pull to 0 counts as so many candidates.
 LEAST_USES = 12
@@ -298,10 +301,8 @@ def _marks(text: str, spans) -> list[tuple[int, int, str]]:
     return out
 
 
-def learn_lexicon(rows: list[tuple[str, list]]) -> Lexicon:
-    """Given names from marked names, common words from how many texts use a word."""
-    uses: Counter[str] = Counter()
-    first: Counter[str] = Counter()
+def _count(rows: Iterable[tuple[str, list]], uses: Counter[str], first: Counter[str]) -> None:
+    """Add how many texts use a word, and how many marked names a word is the first of."""
     for text, spans in rows:
         uses.update(set(_TOKEN.findall(text.lower())))
         for a, b, kind in _marks(text, spans):
@@ -311,15 +312,53 @@ def learn_lexicon(rows: list[tuple[str, list]]) -> Lexicon:
                 token = _TOKEN.match(head.strip())
                 if token and len(token[0]) > 2:
                     first[token[0].lower()] += 1
-    least = max(3, COMMON_SHARE * len(rows))
+
+
+def _lexicon(uses: dict[str, int], first: dict[str, int], total: int) -> Lexicon:
+    least = max(3, COMMON_SHARE * total)
     # a name seen first in several names; surnames are coined and do not repeat like this
-    given = {w for w, n in first.items() if n >= max(3, 0.02 * uses[w]) and n >= 0.04 * uses[w]}
+    given = {w for w, n in first.items() if n >= max(LEAST_MARKS, 0.02 * uses[w]) and n >= 0.04 * uses[w]}
     return Lexicon(frozenset(given), frozenset(w for w, n in uses.items() if n >= least and w not in given))
 
 
-def fit(rows: list[tuple[str, list]], rounds: int = 150) -> FieldModel:
-    """Fit the field on ``(text, spans)`` whose marks may be incomplete."""
-    lexicon = learn_lexicon(rows)
+def learn_lexicon(rows: list[tuple[str, list]]) -> Lexicon:
+    """Given names from marked names, common words from how many texts use a word."""
+    uses: Counter[str] = Counter()
+    first: Counter[str] = Counter()
+    _count(rows, uses, first)
+    return _lexicon(uses, first, len(rows))
+
+
+def learn_lexicon_on(df: DataFrame, total: int, text: str = "text", spans: str = "spans") -> Lexicon:
+    """``learn_lexicon`` over all ``total`` rows; the driver gets only words that are common or begin several marked names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uses: Counter[str] = Counter()
+        first: Counter[str] = Counter()
+
+        def counted() -> pa.RecordBatch:
+            found = list(uses)
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([uses[w] for w in found], pa.int64()), pa.array([first[w] for w in found], pa.int64())], ["word", "uses", "first"])
+
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            _count(zip(texts, batch.column(1).to_pylist()), uses, first)
+            if len(uses) > 400_000:
+                uses.update(dict.fromkeys(first, 0))  # a mark within a word begins with what is no word of the text
+                yield counted()
+                uses.clear()
+                first.clear()
+        uses.update(dict.fromkeys(first, 0))
+        yield counted()
+
+    words = df.select(text, spans).mapInArrow(run, "word string, uses bigint, first bigint").groupBy("word").agg(F.sum("uses").alias("uses"), F.sum("first").alias("first"))
+    found = words.filter((F.col("first") >= LEAST_MARKS) | (F.col("uses") >= max(3, COMMON_SHARE * total))).collect()
+    return _lexicon({r[0]: r[1] for r in found}, {r[0]: r[2] for r in found if r[2]}, total)
+
+
+def fit(rows: list[tuple[str, list]], rounds: int = 150, lexicon: Lexicon | None = None) -> FieldModel:
+    """Fit the field on ``(text, spans)`` whose marks may be incomplete; the lexicon is learned from them if there is none."""
+    lexicon = lexicon or learn_lexicon(rows)
     index: dict[str, int] = {}
     feats, labels, families, texts = [], [], [], []
     uses: Counter[str] = Counter()
@@ -382,7 +421,7 @@ def fit(rows: list[tuple[str, list]], rounds: int = 150) -> FieldModel:
 
 
 def fit_on(df: DataFrame, key: str, text: str = "text", spans: str = "spans", sample: int = SAMPLE) -> FieldModel:
-    """Fit on the at most ``sample`` rows with the smallest hashes of their ids.
+    """Fit on the at most ``sample`` rows with the smallest hashes of their ids, with a lexicon from all rows.
 
     A count sets the hash bound that a little more than ``sample`` rows pass, so
     the tasks send the driver about the sample, however many they are.
@@ -391,7 +430,7 @@ def fit_on(df: DataFrame, key: str, text: str = "text", spans: str = "spans", sa
     total = marked.count()
     bound = int((1 << 40) * min(1.0, (sample + 6 * sample**0.5) / max(1, total)))
     few = marked.filter(F.col("_h") <= bound).orderBy("_h", key).limit(sample)
-    return fit([(r[1], r[2]) for r in few.collect()])
+    return fit([(r[1], r[2]) for r in few.collect()], lexicon=learn_lexicon_on(marked, total, text, spans))
 
 
 def find_personal(df: DataFrame, key: str, model: FieldModel, text: str = "text") -> DataFrame:

@@ -86,3 +86,14 @@ def test_messages_match_enumeration():
                     total[i, x] += p
     mine = np.exp(belief) / np.exp(belief).sum(axis=1, keepdims=True)
     assert np.allclose(mine, total / total.sum(axis=1, keepdims=True), atol=1e-3)
+
+
+def test_lexicon_is_of_all_rows_whatever_the_sample(spark):
+    data, _ = rows(random.Random(3), 600)
+    for i in range(6):
+        said = f"{' '.join(FILL[:5])}. Spoke with Zelda Komirind."
+        data.append((600 + i, said, [{"start": said.index("Zelda"), "end": len(said) - 1, "label": "first_name"}], ""))
+    df = spark.createDataFrame([r[:3] for r in data], "ann_id bigint, text string, spans array<struct<start int, end int, label string>>")
+    want = personal.learn_lexicon([(t, s) for _, t, s, _ in data])
+    got = personal.fit_on(df, "ann_id", sample=60).lexicon
+    assert "zelda" in got.given and (got.given, got.common) == (want.given, want.common)
