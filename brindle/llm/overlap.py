@@ -1,15 +1,17 @@
 """Records that stand, exactly or almost, on both sides of a split (problem 4).
 
-A prefix filter over word multisets, kept as a distributed table.  Of a text's
-``n`` words at most ``n // 6`` may be unmatched, so with all words in one global
-order, rare ones first, the first matched word is among the first ``n // 6 + 1``
-of either text, and the second one among the first ``n // 6 + 2``.  By the first
-field every distinct text (copies share a class and appear once) is stored under those
-words, or under pairs of them where a word alone is common; texts of a train
-and a held-out record that share a key and could agree by their lengths and
-word sets are merged into coverage exactly: the longest common subsequence of
-their words.  No pair is lost: the order and the common words, taken from a
-sample, only decide how many pairs are compared.
+A prefix filter over word multisets, kept as a distributed table.  The k-th use
+of a word in a field is one token, so a text of ``n`` words is a set of ``n``
+tokens and two texts that agree share five sixths of the longer one's.  With all
+tokens in one global order, rare ones first, the first shared token is among the
+first ``n // 6 + 1`` of either text.  Every distinct text (copies share a class
+and appear once) is stored under those tokens; a token common in texts of like
+length is stored in pairs with a token that must be shared as well.  Texts of a
+train and a held-out record that share a key and could agree by their lengths
+and token sets are merged into coverage exactly: the longest common subsequence
+of their words.  No pair is lost: the order, the common tokens and those that
+nearly all texts have are taken from a sample and only decide how many pairs are
+compared.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,19 +33,40 @@ from pyspark.sql import functions as F
 from brindle.plans.durable import cut
 
 AGREE = 5 / 6
-#: Texts from which the order of words and the common words are taken; any order gives the same result.
-ORDER_SAMPLE = 20_000
-#: Texts of like length holding a word beyond which it is stored in pairs with the next words; texts of PAIRED words or more never do.
+#: Texts from which the order of tokens is taken; any order gives the same result.
+ORDER_SAMPLE = 6_000
+#: Bins that tokens are counted in; tokens of a bin have one place in the order.
+BINS = 1 << 18
+#: Texts of like length holding a token beyond which it is stored in pairs; texts of one field and PAIRED words or more never do.
 COMMON = 1000
 PAIRED = 300
-#: Words from which the word set of a first field is also compared in 1,024 bits.
-LONG = 100
-#: Rows of a batch of keys.
-ROWS = 100_000
+#: Share of the texts of like length that hold a token beyond which it tells nothing in a token set.
+EVERYWHERE = 0.5
+#: Bits of a token set, by the words of a text.
+BITS = ((40, 128), (130, 256), (300, 512), (800, 1024), (1 << 62, 2048))
+LONGS = 32
+#: Words of texts that a task keeps in hand while it compares pairs.
+KEPT_WORDS = 3_000_000
+#: Rows and words of a chunk that is worked on at once.
+ROWS, WORDS = 2048, 400_000
 MOST_BROADCAST = 200_000
 _TAG = re.compile(r"<[^<>\n]{1,60}>|&[a-z]{2,8};|&#\d{1,6};")
 _WORD = re.compile(r"[^\W_]+")
-_HIDDEN = re.compile(r"[­​-‏⁠﻿]")
+_HIDDEN = re.compile(r"[­\u200b-\u200f\u202a-\u202e\u2060\ufeff]")
+_ODD = re.compile(r"[^\x00-\x7f]")
+_PLAIN = {i: chr(i).lower() if chr(i).isalnum() else " " for i in range(128)}
+
+
+class _Folded(dict):
+    """What each character beyond ASCII stands for: compatible form, lower case, no accents."""
+
+    def __missing__(self, c: str) -> str:
+        plain = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", c).casefold())
+        value = self[c] = "" if _HIDDEN.match(c) else "".join(x for x in plain if not unicodedata.combining(x))
+        return value
+
+
+_FOLDED = _Folded()
 
 
 def words(text: str | None) -> list[str]:
@@ -50,73 +74,37 @@ def words(text: str | None) -> list[str]:
     if not text:
         return []
     if not text.isascii():
-        text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
-        text = "".join(c for c in unicodedata.normalize("NFD", text.casefold()) if not unicodedata.combining(c))
-    else:
-        text = text.lower()
+        for c in set(_ODD.findall(text)):
+            text = text.replace(c, _FOLDED[c])
     if "<" in text or "&" in text:
-        text = _TAG.sub(" ", text)
-    return _WORD.findall(text)
+        text = _TAG.sub(" ", text.lower())
+    if text.isascii():
+        return text.translate(_PLAIN).split()
+    return _WORD.findall(text.lower())
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def _band(n: int) -> int:
-    """Band of a length; lengths that could agree are in the same or in neighbouring bands."""
-    return int(math.log(n) / math.log(1.200001))
+def bands(n: np.ndarray) -> np.ndarray:
+    """Band of a length: lengths that could agree are in the same or in neighbouring bands."""
+    return np.minimum(np.log(n) / math.log(1.2**2 + 1e-6), 31).astype(np.int64)
 
 
-_PAIRED_BAND = _band(PAIRED)
+_PAIRED_BAND = int(bands(np.array([PAIRED]))[0])
+_BAND_BITS = np.array([next(size for most, size in BITS if 1.44**b < most) for b in range(32)], np.int64)
 
 
 @dataclass(frozen=True)
 class Order:
-    """How often a sample has a word, and the words common in a band of lengths."""
+    """By bin: how often a sample has its tokens, and a bit for each band in which one is common or nearly everywhere."""
 
-    known: np.ndarray  # hashes, ascending
     uses: np.ndarray
-    common: np.ndarray  # hashes of word and band, ascending
-
-    def is_common(self, h: np.ndarray, band: int) -> np.ndarray:
-        return _among(_in_band(h, band), self.common)[0]
-
-
-def _among(x: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each of ``x`` is in ascending ``known``, and where."""
-    if not len(known):
-        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
-    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-    return known[at] == x, at
-
-
-def _in_band(h: np.ndarray, band: int) -> np.ndarray:
-    return _mixed(h + np.uint64(0x9E3779B97F4A7C15 * (band + 1) % (1 << 64)))
-
-
-def prefix_keys(h: np.ndarray, order: Order, bands: list[int]) -> np.ndarray:
-    """Keys, by band, of which two texts that agree in 5 of 6 words share one at least."""
-    n = len(h)
-    there, at = _among(h, order.known)
-    uses = np.where(there, order.uses[at], 0) if len(order.known) else np.zeros(n, np.int64)
-    first = h[np.lexsort((h, uses))][: n // 6 + 2]
-    new = np.ones(len(first), bool)
-    new[1:] = first[1:] != first[:-1]
-    starts = np.flatnonzero(new[: n // 6 + 1])
-    heads = first[starts]
-    out = []
-    for band in bands:
-        own = _in_band(heads, band)
-        if band >= _PAIRED_BAND or n < 2:
-            out.append(own)
-            continue
-        paired = order.is_common(heads, band)
-        out.append(own[~paired])
-        for i in np.flatnonzero(paired):
-            out.append(_mixed(own[i] ^ _mixed(np.unique(first[starts[i] + 1 :]) + np.uint64(1))))
-    return np.unique(np.concatenate(out))
+    common: np.ndarray
+    everywhere: np.ndarray
 
 
 class _Hashes(dict):
@@ -129,128 +117,198 @@ class _Hashes(dict):
         return value
 
 
-def _classes(parts: list[list[str]], known: _Hashes) -> tuple[np.ndarray, int]:
-    """Word hashes of the joined fields, and the class of texts equal in all fields."""
-    h = np.array([known[w] for p in parts for w in p], np.uint64)
-    cuts = np.array([len(p) for p in parts], np.int64).tobytes()
-    return h, int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes() + cuts)).astype(np.int64))
+def _class(parts: list[list[str]]) -> int:
+    """The class of texts equal in all fields, as a signed integer."""
+    h = xxhash.xxh3_64_intdigest("\n".join([" ".join(p) for p in parts]))
+    return h - (1 << 64) if h >> 63 else h
 
 
 def classes(df: DataFrame) -> DataFrame:
     """``(key, train, class)`` of ``(key, train, texts array<string>)``; texts without words drop out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
         for batch in batches:
             at, found = [], []
             for i, texts in enumerate(batch.column(2).to_pylist()):
                 parts = [words(t) for t in texts]
                 if all(parts):
                     at.append(i)
-                    found.append(_classes(parts, known)[1])
+                    found.append(_class(parts))
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(found, pa.int64())], ["key", "train", "class"])
 
     return df.select("key", "train", "texts").mapInArrow(run, "key bigint, train boolean, class bigint")
 
 
+class Chunk:
+    """Texts whose tokens are worked on at once; all have the same number of fields."""
+
+    def __init__(self, parts: list[list[list[str]]], known: _Hashes):
+        self.fields = len(parts[0])
+        self.sizes = np.array([[len(p) for p in t] for t in parts], np.int64)
+        self.total = self.sizes.sum(axis=1)
+        sizes = self.sizes.ravel()
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        h = np.fromiter(map(known.__getitem__, chain.from_iterable(chain.from_iterable(parts))), np.uint64, len(group))
+        h = _mixed(h + (group % self.fields).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        low = np.uint64((1 << 50) - 1)
+        code = np.sort((group.astype(np.uint64) << np.uint64(50)) | (h & low))
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        use = np.arange(len(code)) - np.repeat(first, np.diff(np.concatenate([first, [len(code)]])))
+        self.group = group
+        self.start = np.cumsum(sizes) - sizes
+        self.token = _mixed((code & low) + use.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)
+
+    @property
+    def row(self) -> np.ndarray:
+        return self.group // self.fields
+
+    def bins(self) -> np.ndarray:
+        return (self.token & np.uint64(BINS - 1)).astype(np.int64)
+
+    def ordered(self, order: Order) -> np.ndarray:
+        """The tokens of each text and field, rare ones first."""
+        uses = np.minimum(order.uses[self.bins()], (1 << 18) - 1).astype(np.uint64)
+        code = np.sort((self.group.astype(np.uint64) << np.uint64(50)) | (uses << np.uint64(32)) | self.token)
+        return code & np.uint64(0xFFFFFFFF)
+
+    def sets(self, order: Order, band: np.ndarray) -> np.ndarray:
+        """Token sets in bits, ``LONGS`` integers a text; tokens nearly everywhere are left out."""
+        row, bins = self.row, self.bins()
+        told = (order.everywhere[bins] >> band[row].astype(np.uint32)) & np.uint32(1) == 0
+        bit = (self.token >> np.uint64(21)).astype(np.int64) & (_BAND_BITS[band][row] - 1)
+        out = np.zeros((len(band), LONGS * 64), bool)
+        out[row[told], bit[told]] = True
+        return np.packbits(out, axis=1).view(np.int64)
+
+    def keys(self, tokens: np.ndarray, order: Order, band: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and the row of each, of which two texts that agree and differ share one at least."""
+        n = self.sizes[rows, 0]
+        at = np.repeat(self.start[rows * self.fields], n // 6 + 1) + _ranges(n // 6 + 1)
+        head, row = tokens[at], np.repeat(rows, n // 6 + 1)
+        salt = _mixed(band.astype(np.uint64) + np.uint64(1))
+        paired = (order.common[(head & np.uint64(BINS - 1)).astype(np.int64)] >> band[row].astype(np.uint32)) & np.uint32(1) == 1
+        if self.fields == 1:
+            paired &= (band[row] < _PAIRED_BAND) & (self.sizes[row, 0] > 1)
+            lo, hi = at + 1, self.start[row] + np.minimum(self.sizes[row, 0], self.sizes[row, 0] // 6 + 2)
+        else:
+            lo = self.start[row * self.fields + 1]
+            hi = lo + self.sizes[row, 1] // 6 + 1
+        lo, times = lo[paired], (hi - lo)[paired]
+        partner = tokens[np.repeat(lo, times) + _ranges(times)]
+        pairs = (np.repeat(head[paired], times) << np.uint64(32)) | partner
+        pair_row = np.repeat(row[paired], times)
+        keys = [_mixed(head[~paired] ^ salt[row[~paired]]), _mixed(_mixed(pairs) ^ salt[pair_row])]
+        return np.concatenate(keys), np.concatenate([row[~paired], pair_row])
+
+
+def _ranges(sizes: np.ndarray) -> np.ndarray:
+    """0 .. size - 1 of each size, one after another."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], once: bool) -> Iterator[tuple[list[int], list[list[list[str]]]]]:
+    """``(classes, parts)`` of the texts with words in every field; with ``once``, a class that this task has met lately is left out."""
+    found, parts, size, met = [], [], 0, set()
+    for batch in batches:
+        for texts in batch.column(0).to_pylist():
+            own = [words(t) for t in texts]
+            if not all(own) or not own:
+                continue
+            name = _class(own)
+            if once:
+                if name in met:
+                    continue
+                if len(met) > 1_000_000:
+                    met.clear()
+                met.add(name)
+            if parts and (len(parts) >= ROWS or size > WORDS or len(own) != len(parts[0])):
+                yield found, parts
+                found, parts, size = [], [], 0
+            found.append(name)
+            parts.append(own)
+            size += sum(map(len, own))
+    if parts:
+        yield found, parts
+
+
 def word_order(df: DataFrame, sample: int = ORDER_SAMPLE) -> Order:
-    """The order of words by their uses in the first field of about ``sample`` rows."""
+    """The order of tokens by their uses in about ``sample`` rows, chosen by the hashes of their keys."""
     total = max(1, df.count())
     share = min(1.0, sample / total)
     few = df.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 40)) <= int((1 << 40) * share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
-        for batch in batches:
-            seen: Counter[tuple[int, int]] = Counter()
-            for text in batch.column(0).to_pylist():
-                if own := words(text):
-                    band = _band(len(own))
-                    seen.update({(known[w], band) for w in own})
-            h = np.array([k[0] for k in seen], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([k[1] for k in seen], pa.int32()), pa.array(seen.values(), pa.int64())], ["h", "band", "c"])
-
-    counted = few.select(F.get("texts", F.lit(0)).alias("text")).mapInArrow(run, "h bigint, band int, c bigint").groupBy("h", "band").agg(F.sum("c").alias("c")).filter("c > 1").toArrow()
-    h = counted.column("h").to_numpy().astype(np.uint64)
-    band, c = counted.column("band").to_numpy(), counted.column("c").to_numpy().astype(np.int64)
-    known, at = np.unique(h, return_inverse=True)
-    often = c > COMMON * share
-    common = [_in_band(h[often & (band == b)], int(b)) for b in np.unique(band[often])]
-    return Order(known, np.bincount(at, c, len(known)).astype(np.int64), np.unique(np.concatenate(common)) if common else np.zeros(0, np.uint64))
-
-
-def _bits(h: np.ndarray, size: int = 4) -> list[int]:
-    """The word set of a text in ``size`` times 64 bits, ``size`` a power of 2."""
-    bits = [0] * size
-    for b in np.unique(h >> np.uint64(59 - size.bit_length())).tolist():
-        bits[b >> 6] |= 1 << (b & 63)
-    return bits
+        for _, parts in _chunks(batches, False):
+            chunk = Chunk(parts, known)
+            band = bands(chunk.total)
+            code, c = np.unique(band[chunk.row] * BINS + chunk.bins(), return_counts=True)
+            code = np.concatenate([code, band * BINS - 1 - BINS * 64])  # below 0: the texts of each band
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(np.concatenate([c, np.ones(len(band), np.int64)]))], ["code", "c"])
+
+    counted = few.select("texts").mapInArrow(run, "code bigint, c bigint").groupBy("code").agg(F.sum("c").alias("c")).toArrow()
+    code, c = counted.column("code").to_numpy(), counted.column("c").to_numpy()
+    texts = np.ones(32)
+    of_band = code < 0
+    texts[(code[of_band] + 1 + BINS * 64) // BINS] = c[of_band]
+    code, c = code[~of_band], c[~of_band]
+    band, bins = code // BINS, code % BINS
+    flags = []
+    for ok in (c > max(1.0, COMMON * share), (c > 3) & (c > EVERYWHERE * texts[band])):
+        flag = np.zeros(BINS, np.uint32)
+        np.bitwise_or.at(flag, bins[ok], np.uint32(1) << band[ok].astype(np.uint32))
+        flags.append(flag)
+    return Order(np.bincount(bins, c, BINS).astype(np.int32), *flags)
 
 
 def keyed(df: DataFrame, train: bool, order: Order) -> DataFrame:
-    """``(k, class, n, s0 .. s3, m, t0 .. t3, wide)`` of ``texts``: a row for each key of each text.
+    """``(k, class, n, total, w0 .. w31)`` of ``texts``: a row for each key of each text.
 
-    ``n`` and ``s`` are the length and the word set of the first field, ``m`` and
-    ``t`` those of the others.  The held-out side, the smaller as a rule, is
-    looked up in the neighbouring bands of lengths.
+    ``n`` and ``total`` count the words of the first and of all fields, ``w`` is
+    the token set.  The held-out side, the smaller as a rule, is looked up in the
+    neighbouring bands of lengths.
     """
     shared = df.sparkSession.sparkContext.broadcast(order)
-    names = ["k", "class", "n", "s0", "s1", "s2", "s3", "m", "t0", "t1", "t2", "t3", "wide"]
+    names = ["k", "class", "n", "total", *[f"w{j}" for j in range(LONGS)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, order = _Hashes(), shared.value
-        keys, rows, total = [], [], 0
-
-        def made() -> pa.RecordBatch:
-            times = np.array([len(k) for k in keys])
-            ints = np.repeat(np.array([r[:3] for r in rows], np.int64), times, axis=0)
-            bits = np.repeat(np.array([r[3] for r in rows], np.uint64).astype(np.int64), times, axis=0)
-            s, t = ([np.ascontiguousarray(bits[:, i + j]) for j in range(4)] for i in (0, 4))
-            flat = [np.concatenate(keys).astype(np.int64), np.ascontiguousarray(ints[:, 0]), ints[:, 1].astype(np.int32), *s, ints[:, 2].astype(np.int32), *t]
-            wide = pa.array([np.array(r[4], np.uint64).astype(np.int64) for r in rows], pa.list_(pa.int64())).take(pa.array(np.repeat(np.arange(len(rows)), times)))
-            return pa.RecordBatch.from_arrays([*(pa.array(x) for x in flat), wide], names)
-
-        for batch in batches:
-            for texts in batch.column(0).to_pylist():
-                parts = [words(t) for t in texts]
-                if not all(parts):
+        for found, parts in _chunks(batches, True):
+            chunk = Chunk(parts, known)
+            tokens, own = chunk.ordered(order), bands(chunk.total)
+            name = np.array(found, np.int64)
+            for step in (0,) if train else (-1, 0, 1):
+                band = np.clip(own + step, 0, 31)
+                reached = (own == band) if step == 0 else (own != band) & (bands(np.maximum(1, np.where(step < 0, -(-5 * chunk.total // 6), 6 * chunk.total // 5))) == band)
+                rows = np.flatnonzero(reached)
+                if not len(rows):
                     continue
-                h, own = _classes(parts, known)
-                n = len(parts[0])
-                band = _band(n)
-                keys.append(prefix_keys(h[:n], order, [band] if train else [band - 1, band, band + 1]))
-                rows.append((own, n, len(h) - n, _bits(h[:n]) + _bits(h[n:]), _bits(h[:n], 16) if n >= LONG else []))
-                total += len(keys[-1])
-                if total >= ROWS:
-                    yield made()
-                    keys, rows, total = [], [], 0
-        if total:
-            yield made()
+                k, row = chunk.keys(tokens, order, band, rows)
+                bits = chunk.sets(order, band)
+                ints = [k.view(np.int64), name[row], chunk.sizes[row, 0].astype(np.int32), chunk.total[row].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in ints), *(pa.array(bits[:, j][row]) for j in range(LONGS))], names)
 
     sides = df.filter("train" if train else "NOT train").select("texts")
-    return sides.mapInArrow(run, "k bigint, class bigint, n int, s0 bigint, s1 bigint, s2 bigint, s3 bigint, m int, t0 bigint, t1 bigint, t2 bigint, t3 bigint, wide array<bigint>")
+    return sides.mapInArrow(run, "k bigint, class bigint, n int, total int, " + ", ".join(f"w{j} bigint" for j in range(LONGS)))
 
 
 def candidates(df: DataFrame) -> DataFrame:
-    """``(x, y)``: classes of a train and a held-out record that share a key and could agree by lengths and word sets."""
+    """``(x, y)``: classes of a train and a held-out record that share a key and could agree by lengths and token sets."""
     order = word_order(df)
 
     def side(train: bool, own: str) -> DataFrame:
         rows = keyed(df, train, order).repartition("k").dropDuplicates(["k", "class"])  # the join follows this partitioning
         return rows.select("k", *[F.col(c).alias(own + c) for c in rows.columns if c != "k"])
 
-    def agree(n: str, s: str) -> Column:
-        x, y = F.col("x" + n), F.col("y" + n)
-        missing = lambda a, b: sum((F.bit_count(F.col(f"{a}{s}{j}").bitwiseAND(F.bitwise_not(f"{b}{s}{j}"))) for j in range(4)), F.lit(0))
-        least = 5 * F.greatest(x, y)
-        return (6 * F.least(x, y) >= least) & (6 * (x - missing("x", "y")) >= least) & (6 * (y - missing("y", "x")) >= least)
+    def alike(n: str) -> Column:
+        return 6 * F.least("x" + n, "y" + n) >= 5 * F.greatest("x" + n, "y" + n)
 
-    def agree_widely(a: str, b: str) -> Column:
-        missing = F.aggregate(F.zip_with(f"{a}wide", f"{b}wide", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda total, c: total + c)
-        return 6 * (F.col(a + "n") - F.coalesce(missing, F.lit(0))) >= 5 * F.greatest("xn", "yn")  # null where one text alone is long
+    def covered(a: str, b: str) -> Column:
+        missing = sum((F.bit_count(F.col(f"{a}w{j}").bitwiseAND(F.bitwise_not(f"{b}w{j}"))) for j in range(LONGS)), F.lit(0))
+        return 6 * (F.col(a + "total") - missing) >= 5 * F.greatest("xtotal", "ytotal")
 
-    fits = agree("n", "s") & agree("m", "t") & agree_widely("x", "y") & agree_widely("y", "x") & (F.col("xclass") != F.col("yclass"))
+    fits = alike("total") & alike("n") & covered("x", "y") & covered("y", "x") & (F.col("xclass") != F.col("yclass"))
     return side(True, "x").join(side(False, "y"), "k").filter(fits).select(F.col("xclass").alias("x"), F.col("yclass").alias("y")).distinct()
 
 
@@ -267,16 +325,31 @@ def agreeing(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def almost_same(xs: list[str], ys: list[str], least: float = AGREE) -> bool:
+def almost_same(xs: list[list[str]], ys: list[list[str]], least: float = AGREE) -> bool:
     """Whether in every field at least ``least`` of the words of the longer text agree in order."""
-    for x, y in zip(xs, ys):
-        a, b = words(x), words(y)
-        longer = max(len(a), len(b))
-        if min(len(a), len(b)) < least * longer or agreeing(a, b) < least * longer - 1e-9:
+    for a, b in zip(xs, ys):
+        longer = least * max(len(a), len(b)) - 1e-9
+        if min(len(a), len(b)) < longer or sum((Counter(a) & Counter(b)).values()) < longer or agreeing(a, b) < longer:
             return False
     return True
 
 
+class _Texts(dict):
+    """Words of the classes compared lately."""
+
+    size = 0
+
+    def of(self, name: int, texts: list[str]) -> list[list[str]]:
+        found = self.get(name)
+        if found is None:
+            if self.size > KEPT_WORDS:
+                self.clear()
+                self.size = 0
+            found = self[name] = [words(t) for t in texts]
+            self.size += sum(map(len, found))
+        return found
+
+
 def cross_split(df: DataFrame) -> DataFrame:
     """``(id_a, id_b)``, ``id_a < id_b``, of ``(key bigint, train boolean, texts array<string>)``.
 
@@ -296,8 +369,9 @@ def cross_split(df: DataFrame) -> DataFrame:
     together = linked.join(texts.select(F.col("class").alias("x"), F.col("texts").alias("tx")), "x").join(texts.select(F.col("class").alias("y"), F.col("texts").alias("ty")), "y")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Texts()
         for batch in batches:
-            ok = [almost_same(x, y) for x, y in zip(batch.column("tx").to_pylist(), batch.column("ty").to_pylist())]
+            ok = [almost_same(held.of(x, tx), held.of(y, ty)) for x, y, tx, ty in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "tx", "ty")))]
             kept = batch.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column("x"), kept.column("y")], ["x", "y"])
 

@@ -51,7 +51,7 @@ def test_pairs_against_brute_force(spark):
     want = set()
     for a in rows:
         for b in rows:
-            if a[1] and b[1] is False and overlap.words(a[2][0]) and overlap.words(b[2][0]) and overlap.almost_same(a[2], b[2]):
+            if a[1] and b[1] is False and overlap.words(a[2][0]) and overlap.words(b[2][0]) and overlap.almost_same([overlap.words(t) for t in a[2]], [overlap.words(t) for t in b[2]]):
                 want.add((min(a[0], b[0]), max(a[0], b[0])))
     got = {tuple(r) for r in overlap.cross_split(df).collect()}
     assert len(want) > 1200 and got == want
@@ -95,3 +95,17 @@ def test_every_sixth_word_changed(spark):
         near = [f"new{i}" if i % 6 == 5 else w for i, w in enumerate(base)]
         far = ["other" if i % 6 == 5 or i == 0 else w for i, w in enumerate(base)]
         assert found(spark, [(True, " ".join(base)), (False, " ".join(near)), (False, " ".join(far))]) == {(0, 1)}, n
+
+
+def test_fields_with_the_same_first_text(spark):
+    rnd = random.Random(6)
+    rows, want = [], set()
+    for i in range(120):  # one question with many answers, some of them near copies
+        answer = [f"a{rnd.randrange(90)}" for _ in range(30)]
+        rows.append((2 * i, True, ["What is it then", " ".join(answer)]))
+        near = answer[:-1] + ["end"] if i % 3 == 0 else [f"b{rnd.randrange(90)}" for _ in range(30)]
+        rows.append((2 * i + 1, False, ["what is it then?", " ".join(near)]))
+        if i % 3 == 0:
+            want.add((2 * i, 2 * i + 1))
+    df = spark.createDataFrame(rows, "key bigint, train boolean, texts array<string>")
+    assert {tuple(r) for r in overlap.cross_split(df).collect()} == want
