@@ -3,21 +3,24 @@
 Patterns propose candidate mentions; a skip-chain conditional random field
 labels them.  Its nodes are a text's candidates, its unary potentials a
 regularised log-linear model of shape and context, its edges tie neighbours and,
-across any distance, candidates that repeat a token (a name, a number, an
-address); loopy message passing settles the labels of the whole text.
-
-The marks to learn from are incomplete, so the unary model learns which
-candidates get marked and divides by the share of true mentions that are marked.
-Given names and common words are counted over all texts, the weights are learned
-from a bounded sample of them.
+across any distance, candidates with a token the same or alike (a name, a number,
+an address); loopy message passing settles the labels of the whole text.
+
+The marks to learn from are incomplete, so a first model learns which candidates
+get marked and divides by the share of true mentions that are marked; features
+and ties are then fitted together, by pseudo-likelihood, to what follows.  Given
+names and common words are counted over all texts, the weights are learned from
+a bounded sample of them.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+import unicodedata
+from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,9 @@ SAMPLE = 12_000
 COMMON_SHARE = 0.0006
 #: Marked names that a given name is the first word of, at least.
 LEAST_MARKS = 3
-ROUNDS = 12
+ROUNDS = 24
+#: Strongest tie.
+MOST_TIE = 2.0
 #: Features seen less often are one feature; a weight's pull to 0 counts as so many candidates.
 LEAST_USES = 12
 PULL = 4.0
@@ -62,7 +67,7 @@ FAMILIES = {
         re.I,
     ),
     "number": re.compile(
-        r"(?<![\w#/@.-])(?=[a-z]{0,3} ?[+(]?\d)(?:"
+        r"(?=[a-z]{0,3} ?[+(]?\d)(?:"
         r"\+\d{1,3}[ .-]?(?:\(\d\)[ .-]?)?\d(?:[\d]|[ .-](?=\d)){5,14}\d"
         r"|00 ?\d{1,3}[ .-]?\d(?:\d|[ .-](?=\d)){6,13}\d"
         r"|\(\d{2,4}\)[ -]?\d{3}[ -]?\d{3,5}"
@@ -76,18 +81,22 @@ FAMILIES = {
         re.I,
     ),
 }
-_AT = re.compile(r"\s?@\s?|\s?[\[(]\s?at\s?[\])]\s?", re.I)
-_LOCAL = re.compile(r"[\w.+%-]{1,64}\Z")
-_DOMAIN = re.compile(r"[\w-]{1,60}(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?|\sdot\s)[a-z0-9-]{2,40})+(?<!-)", re.I)
-_HOUSE = re.compile(r"(?<![\w.,+/-])\d{1,4}[A-Za-z]?(?=\s[^\W\d_])")
-_POSTCODE = re.compile(r"(?<![\w.-])\d{5}(?=\s[^\W\d_])")
+_AT = re.compile(r"@|[\[(]\s?at\s?[\])]", re.I)
+_LOCAL = re.compile(r"[\w.+%-]{1,64}\s?\Z")
+_DOMAIN = re.compile(r"\s?([\w-]{1,60}(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?|\sdot\s)[a-z0-9-]{2,40})+(?<!-))", re.I)
+_DIGITS = re.compile(r"\d+")
+_HOUSE = re.compile(r"\d{1,4}[A-Za-z]?(?=\s[^\W\d_])")
 _FLAT = re.compile(r"\b(?:flat|apt\.?|unit|suite)\s\d{1,4}[a-z]?,\s{1,3}\Z", re.I)
 _BEFORE = re.compile(rf"(?<![\w@.+-])({_W}[\w’'-]{{2,}}),[  \n]\Z")
 _AFTER = re.compile(rf"(?:[  \n]([A-ZÀ-Þ])\.)?(?:[  \n]({_W}[\w’'-]{{2,}}))?")
-_INITIAL = re.compile(rf"(?<![\w.])([A-ZÀ-Þ])\.[  ]({_W}[\w’'-]{{3,}})")
+_INITIAL = re.compile(rf"([A-ZÀ-Þ])\.[  ]({_W}[\w’'-]{{3,}})")
 _TOKEN = re.compile(rf"{_W}+")
 _GAP = "[  \n]"
 _DIGIT = re.compile(r"\d")
+_NAME = re.compile(rf"(?:{_W}|[-'’])+")
+_NO_GIVEN = re.compile(r"[\w@+]|\.\w|-\w*@")
+_SOFT = re.compile(r"(?<=.)[aeiouyh]+")
+_TWICE = re.compile(r"(.)\1+")
 _LETTER = re.compile(_W)
 
 
@@ -97,16 +106,28 @@ class Lexicon:
 
     given: frozenset[str] = frozenset()
     common: frozenset[str] = frozenset()
-    pattern: re.Pattern | None = field(default=None, repr=False)
 
-    def __post_init__(self):
-        if self.given:
-            names = "|".join(sorted(map(re.escape, self.given), key=len, reverse=True))
-            self.pattern = re.compile(rf"(?<![\w@.+-])(?:{names})(?![\w@+]|\.\w|-\w*@)", re.I)
+    def places(self, text: str) -> list[tuple[int, int]]:
+        """Where given names stand as words of their own, in order; most texts are told by one look at their words."""
+        low = text.lower()
+        there = self.given.intersection(_TOKEN.findall(low))
+        if not there:
+            return []
+        if len(low) != len(text):  # a letter whose lower case is longer: look at the words of the text itself
+            found = [m.span() for m in _TOKEN.finditer(text) if m[0].lower() in there]
+        else:
+            found = []
+            for name in there:
+                at = low.find(name)
+                while at >= 0:
+                    found.append((at, at + len(name)))
+                    at = low.find(name, at + 1)
+            found.sort()
+        return [(a, b) for a, b in found if not (a and (text[a - 1].isalnum() or text[a - 1] in "_@.+-")) and not _NO_GIVEN.match(text, b)]
 
     def is_surname(self, word: str | None, like: str) -> bool:
         """A coined word, written as the given name beside it is."""
-        if not word or len(word) < 4 or not all(_LETTER.match(c) or c in "-'’" for c in word):
+        if not word or len(word) < 4 or not _NAME.fullmatch(word):
             return False
         if like[:1].isupper() and not word[0].isupper():
             return False
@@ -120,6 +141,10 @@ class Candidate:
     family: str
 
 
+def _is_word(c: str, more: str) -> bool:
+    return c.isalnum() or c == "_" or c in more
+
+
 def candidates(text: str, lexicon: Lexicon) -> list[Candidate]:
     """Proposed mentions, in order and without overlaps; emails and addresses go before numbers and names."""
     found: list[Candidate] = []
@@ -130,37 +155,41 @@ def candidates(text: str, lexicon: Lexicon) -> list[Candidate]:
             found.append(Candidate(start, end, family))
             taken.append((start, end))
 
-    if "@" in text or "at" in text or "AT" in text:
+    if "@" in text or "[" in text or "(" in text:
         for m in _AT.finditer(text):
-            local = _LOCAL.search(text, max(0, m.start() - 64), m.start())
+            local = _LOCAL.search(text, max(0, m.start() - 65), m.start())
             domain = _DOMAIN.match(text, m.end())
-            if local and domain and _LETTER.search(domain[0].rpartition(".")[2].rpartition(" ")[2]):
+            if local and domain and _LETTER.search(domain[1].rpartition(".")[2].rpartition(" ")[2]):
                 add(local.start(), domain.end(), "email")
-    if _DIGIT.search(text):
-        for p in _POSTCODE.finditer(text):  # the long patterns only run around a postcode or from a house number
-            for m in FAMILIES["postcode"].finditer(text, max(0, p.start() - 100), min(len(text), p.end() + 60)):
-                if m.start() < p.start() < m.end():
+    runs = [m.span() for m in _DIGITS.finditer(text)]  # every pattern with digits is tried around a run of them alone
+    for a, b in runs:
+        if b - a == 5 and text[b : b + 1].isspace() and not (a and _is_word(text[a - 1], ".-")):
+            for m in FAMILIES["postcode"].finditer(text, max(0, a - 100), min(len(text), b + 60)):
+                if m.start() < a < m.end():
                     add(m.start(), m.end(), "address")
-        for h in _HOUSE.finditer(text):
-            if m := FAMILIES["english"].match(text, h.start()):
-                flat = _FLAT.search(text, max(0, h.start() - 16), h.start())
-                add(flat.start() if flat else m.start(), m.end(), "address")
-        for m in FAMILIES["number"].finditer(text):
-            add(m.start(), m.end(), "number")
-    if lexicon.pattern and not lexicon.given.isdisjoint(_TOKEN.findall(text.lower())):
-        for m in lexicon.pattern.finditer(text):
-            start, end, given = m.start(), m.end(), m[0]
-            tail = _AFTER.match(text, end)
-            initial, after = tail.groups()
-            if after and lexicon.is_surname(after, given):
-                end = tail.end()
-            elif initial and not after:
-                end = tail.end()
-            elif not initial and (before := _BEFORE.search(text, max(0, start - 48), start)) and lexicon.is_surname(before[1], given):
-                start = before.start()
-            add(start, end, "name")
+    for a, b in runs:
+        if b - a < 5 and not (a and _is_word(text[a - 1], ".,+/-")) and _HOUSE.match(text, a) and (m := FAMILIES["english"].match(text, a)):
+            flat = _FLAT.search(text, max(0, a - 16), a)
+            add(flat.start() if flat else a, m.end(), "address")
+    done = 0
+    for a, _ in runs:
+        for at in range(max(done, a - 5), a + 1):
+            if not (at and _is_word(text[at - 1], "#/@.-")) and (m := FAMILIES["number"].match(text, at)):
+                add(at, m.end(), "number")
+                done = m.end()
+                break
+    for start, end in lexicon.places(text):
+        given, tail = text[start:end], _AFTER.match(text, end)
+        initial, after = tail.groups()
+        if after and lexicon.is_surname(after, given):
+            end = tail.end()
+        elif initial and not after:
+            end = tail.end()
+        elif not initial and (before := _BEFORE.search(text, max(0, start - 48), start)) and lexicon.is_surname(before[1], given):
+            start = before.start()
+        add(start, end, "name")
     for m in _INITIAL.finditer(text):
-        if lexicon.is_surname(m[2], m[1]):
+        if not (m.start() and _is_word(text[m.start() - 1], ".")) and lexicon.is_surname(m[2], m[1]):
             add(m.start(), m.end(), "initial")
     return sorted(found, key=lambda c: c.start)
 
@@ -196,95 +225,103 @@ def allowed(family: str) -> tuple[int, ...]:
     return (0, KINDS.index("name" if family == "initial" else family))
 
 
-def link_keys(text: str, c: Candidate) -> set[str]:
-    """What a candidate has to share with another one to be tied to it."""
+def link_keys(text: str, c: Candidate) -> set[tuple[str, str]]:
+    """What a candidate has to share with another one to be tied to it: ``same`` tokens, or ``alike`` ones."""
     s = text[c.start : c.end].lower()
     if c.family in ("name", "initial"):
-        return {w for w in _TOKEN.findall(s) if len(w) > 2}
+        tokens = {w for w in _TOKEN.findall(s) if len(w) > 2}
+        return {("same", w) for w in tokens} | {("alike", k) for w in tokens if len(k := skeleton(w)) > 2}
     if c.family == "number":
-        return {re.sub(r"\W", "", s)}
-    return {re.sub(r"\s+", " ", s)}
+        bare = re.sub(r"\W", "", s)
+        return {("same", bare), ("alike", bare[-7:])} if len(bare) > 7 else {("same", bare)}
+    return {("same", re.sub(r"\s+", " ", s)), ("alike", re.sub(r"[\W_]+", "", s))}
+
+
+@lru_cache(100_000)
+def skeleton(word: str) -> str:
+    """What spellings of a name share: no accents, no vowels behind the first letter, no doubled letters."""
+    plain = "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+    return _TWICE.sub(r"\1", _SOFT.sub("", plain))
+
+
+TIES = ("same", "alike", "chain")
+
+
+def edges(text: str, nodes: list[Candidate]) -> list[tuple[int, int, int]]:
+    """``(a, b, kind of tie)``: to the next candidate nearby and, across any distance, to the next one with a token the same or alike."""
+    out: dict[tuple[int, int], int] = {}
+    last: dict[tuple[str, str], int] = {}
+    for j, c in enumerate(nodes):
+        if j and nodes[j - 1].family == c.family and c.start - nodes[j - 1].end < 60:
+            out[j - 1, j] = 2
+        for k in link_keys(text, c):
+            if k in last:
+                e, kind = (last[k], j), TIES.index(k[0])
+                out[e] = min(out.get(e, kind), kind)
+            last[k] = j
+    return [(a, b, k) for (a, b), k in out.items()]
 
 
 @dataclass
 class FieldModel:
-    """Weights of the field; ``label`` settles the candidates of a text."""
+    """Weights of the field, fitted together; ``label`` settles the candidates of texts."""
 
     lexicon: Lexicon
-    weights: dict[str, np.ndarray]
-    marked: np.ndarray  # share of true mentions that are marked, by kind
-    skip: float
-    chain: float
+    weights: dict[str, tuple[float, ...]]
+    ties: tuple[float, ...] = (0.0, 0.0, 0.0)
 
-    def unary(self, text: str, nodes: list[Candidate]) -> np.ndarray:
+    def unary(self, text: str, nodes: list[Candidate]) -> list[list[float]]:
         """Log potentials, one row a node; labels a family cannot have are very low."""
-        out = np.full((len(nodes), len(KINDS)), -30.0)
-        rare = self.weights.get("rare")
-        for i, c in enumerate(nodes):
-            score = np.zeros(len(KINDS))
-            for f in features(text, c):
-                w = self.weights.get(f, rare)
-                if w is not None:
-                    score += w
-            ok = allowed(c.family)
-            z = score[list(ok)]
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            true = np.minimum(p[1:] / (LENIENT * self.marked[list(ok[1:])]), 1.0)
-            total = true.sum()
-            true = true / max(1.0, total / 0.985)
-            out[i, list(ok[1:])] = np.log(np.maximum(true, 1e-6))
-            out[i, 0] = np.log(max(1e-6, 1 - true.sum()))
+        get, rare = self.weights.get, self.weights.get("rare")
+        out = []
+        for c in nodes:
+            found = [w for f in features(text, c) if (w := get(f, rare)) is not None]
+            row = [-30.0] * len(KINDS)
+            for k in allowed(c.family):
+                row[k] = sum((w[k] for w in found), 0.0)
+            out.append(row)
         return out
 
-    def edges(self, text: str, nodes: list[Candidate]) -> list[tuple[int, int, float]]:
-        """Ties to the next candidate nearby and to the next one that repeats a token."""
-        out: dict[tuple[int, int], float] = {}
-        last: dict[str, int] = {}
-        for j, c in enumerate(nodes):
-            if j and nodes[j - 1].family == c.family and c.start - nodes[j - 1].end < 60:
-                out[j - 1, j] = self.chain
-            for k in link_keys(text, c):
-                if k in last:
-                    e = (last[k], j)
-                    out[e] = out.get(e, 0.0) + self.skip
-                last[k] = j
-        return [(a, b, w) for (a, b), w in out.items()]
+    def label_all(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
+        """Mentions ``(start, end, kind)`` of each text; one round of messages goes through all texts at once."""
+        nodes, unary, ties, begin = [], [], [], []
+        for t in texts:
+            begin.append(len(unary))
+            own = candidates(t, self.lexicon) if t else []
+            nodes.append(own)
+            if own:
+                ties += [(a + begin[-1], b + begin[-1], self.ties[k]) for a, b, k in edges(t, own)] if len(own) > 1 else []
+                unary += self.unary(t, own)
+        if not unary:
+            return [[] for _ in texts]
+        best = messages(np.array(unary), ties).argmax(axis=1).tolist()
+        return [[(c.start, c.end, KINDS[k]) for c, k in zip(own, best[at : at + len(own)]) if k] for own, at in zip(nodes, begin)]
 
     def label(self, text: str) -> list[tuple[int, int, str]]:
         """Mentions ``(start, end, kind)`` of a text."""
-        nodes = candidates(text, self.lexicon)
-        if not nodes:
-            return []
-        belief = messages(self.unary(text, nodes), self.edges(text, nodes))
-        best = belief.argmax(axis=1)
-        return [(c.start, c.end, KINDS[k]) for c, k in zip(nodes, best) if k]
+        return self.label_all([text])[0]
 
 
-def messages(unary: np.ndarray, edges: list[tuple[int, int, float]], rounds: int = ROUNDS) -> np.ndarray:
-    """Beliefs after loopy sum-product message passing with damped updates; edges reward equal labels."""
-    if not edges:
+def messages(unary: np.ndarray, ties: list[tuple[int, int, float]], rounds: int = ROUNDS) -> np.ndarray:
+    """Beliefs after loopy sum-product message passing with damped updates; ties reward equal labels.
+
+    All messages of a round are sent at once, so texts do not affect each other.
+    """
+    if not ties:
         return unary
-    n_labels = unary.shape[1]
-    msg = {(a, b): np.zeros(n_labels) for x, y, _ in edges for a, b in ((x, y), (y, x))}
-    near: dict[int, list[int]] = defaultdict(list)
-    weight = {}
-    for x, y, w in edges:
-        near[x].append(y)
-        near[y].append(x)
-        weight[x, y] = weight[y, x] = np.exp(w) - 1.0
+    a, b = (np.array([t[i] for t in ties], np.int64) for i in (0, 1))
+    src, dst = np.concatenate([a, b]), np.concatenate([b, a])
+    gain = np.tile(np.exp(np.array([t[2] for t in ties])) - 1.0, 2)[:, None]
+    back = np.roll(np.arange(len(src)), len(a))
+    msg = np.zeros((len(src), unary.shape[1]))
+    belief = unary
     for _ in range(rounds):
-        change = 0.0
-        for (a, b), old in list(msg.items()):
-            z = unary[a] + sum((msg[k, a] for k in near[a] if k != b), np.zeros(n_labels))
-            e = np.exp(z - z.max())
-            new = np.log(e.sum() + weight[a, b] * e + 1e-300)
-            new -= new.max()
-            msg[a, b] = 0.5 * old + 0.5 * new
-            change = max(change, float(np.abs(msg[a, b] - old).max()))
-        if change < 1e-4:
-            break
-    return np.array([unary[i] + sum((msg[k, i] for k in near[i]), np.zeros(n_labels)) for i in range(len(unary))])
+        z = belief[src] - msg[back]
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        new = np.log(e.sum(axis=1, keepdims=True) + gain * e)
+        msg = 0.5 * (msg + new - new.max(axis=1, keepdims=True))
+        belief = unary + np.stack([np.bincount(dst, msg[:, k], len(unary)) for k in range(unary.shape[1])], axis=1)
+    return belief
 
 
 def _kind(label: str | None) -> str | None:
@@ -356,44 +393,71 @@ def learn_lexicon_on(df: DataFrame, total: int, text: str = "text", spans: str =
     return _lexicon({r[0]: r[1] for r in found}, {r[0]: r[2] for r in found if r[2]}, total)
 
 
+def _pseudo_likelihood(x: np.ndarray, y: np.ndarray, mask: np.ndarray, n_features: int, ties: np.ndarray | None, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of features and ties that make each label most likely given the labels tied to it; accelerated gradient steps.
+
+    ``ties`` counts, for each node, kind of tie and label, the tied nodes with that label.
+    """
+    count = np.bincount(x.ravel(), minlength=n_features).astype(float)
+    w = np.zeros((n_features, len(KINDS)))
+    back, target = w.copy(), np.eye(len(KINDS))[y]
+    t = np.zeros(0 if ties is None else ties.shape[1])
+    weight = None if ties is None else (ties**2).sum(axis=(0, 2)) + 10
+    step = 1.0 / (0.5 * (x.shape[1] + (0 if ties is None else ties.shape[1])))
+    for k in range(rounds):  # each feature's step is scaled by its count, which preconditions rare ones
+        look = w + k / (k + 3) * (w - back)
+        back = w
+        z = look[x].sum(axis=1) + mask
+        if ties is not None:
+            z = z + np.tensordot(ties, t, (1, 0))
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        g = np.stack([np.bincount(x.ravel(), np.repeat((p - target)[:, j], x.shape[1]), n_features) for j in range(len(KINDS))], axis=1)
+        w = look - step * (g + PULL * look) / (count + 10)[:, None]
+        if ties is not None:
+            t = np.clip(t - step * (np.einsum("ik,itk->t", p - target, ties) + PULL * t) / weight, 0.0, MOST_TIE)
+    return w, t
+
+
+def _posterior(x: np.ndarray, w: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    z = w[x].sum(axis=1) + mask
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
 def fit(rows: list[tuple[str, list]], rounds: int = 150, lexicon: Lexicon | None = None) -> FieldModel:
-    """Fit the field on ``(text, spans)`` whose marks may be incomplete; the lexicon is learned from them if there is none."""
+    """Fit the field on ``(text, spans)`` whose marks may be incomplete; the lexicon is learned from them if there is none.
+
+    First the share of true mentions that are marked is estimated from which
+    candidates get marked, and divided out; the labels that follow are what the
+    field, its features and its ties together, is fitted to by pseudo-likelihood.
+    """
     lexicon = lexicon or learn_lexicon(rows)
     index: dict[str, int] = {}
-    feats, labels, families, texts = [], [], [], []
+    feats, labels, families, tied = [], [], [], []
     uses: Counter[str] = Counter()
-    for text, _ in rows:
-        for c in candidates(text, lexicon):
-            uses.update(features(text, c))
+    found = []
     for text, spans in rows:
+        own = candidates(text, lexicon)
+        told = [features(text, c) for c in own]
+        for f in told:
+            uses.update(f)
+        found.append((own, told))
+    for (text, spans), (own, told) in zip(rows, found):
         marks = _marks(text, spans)
-        for c in candidates(text, lexicon):
+        tied += [(a + len(feats), b + len(feats), k) for a, b, k in edges(text, own)] if len(own) > 1 else []
+        for c, f in zip(own, told):
             kind = next((k for a, b, k in marks if a < c.end and c.start < b and KINDS.index(k) in allowed(c.family)), "O")
-            own = features(text, c)
-            feats.append([index.setdefault(f if uses[f] >= LEAST_USES else "rare", len(index)) for f in own])
+            feats.append([index.setdefault(x if uses[x] >= LEAST_USES else "rare", len(index)) for x in f])
             labels.append(KINDS.index(kind))
             families.append(c.family)
     if not feats:
-        return FieldModel(lexicon, {}, np.ones(len(KINDS)), 0.0, 0.0)
+        return FieldModel(lexicon, {})
     x, y = np.array(feats), np.array(labels)
     mask = np.full((len(y), len(KINDS)), -1e9)
     for i, f in enumerate(families):
         mask[i, list(allowed(f))] = 0.0
-    count = np.bincount(x.ravel(), minlength=len(index)).astype(float)
-    w = np.zeros((len(index), len(KINDS)))
-    back, target = w.copy(), np.eye(len(KINDS))[y]
-    step = 1.0 / (0.5 * x.shape[1])
-    for k in range(rounds):  # each feature's step is scaled by its count, which preconditions rare ones
-        look = w + k / (k + 3) * (w - back)
-        back = w
-        z = look[x].sum(axis=1) + mask
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        g = np.stack([np.bincount(x.ravel(), np.repeat((p - target)[:, j], x.shape[1]), len(index)) for j in range(len(KINDS))], axis=1)
-        w = look - step * (g + PULL * look) / (count + 10)[:, None]
-    z = w[x].sum(axis=1) + mask
-    p = np.exp(z - z.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
+    p = _posterior(x, _pseudo_likelihood(x, y, mask, len(index), None, rounds)[0], mask)
     marked = np.ones(len(KINDS))
     for k in range(1, len(KINDS)):
         own = p[y == k, k]
@@ -404,20 +468,15 @@ def fit(rows: list[tuple[str, list]], rounds: int = 150, lexicon: Lexicon | None
         for _ in range(4):  # the rate among the candidates that look markable, which settles at once
             rate = float(np.mean(y[p[:, k] >= MARKABLE * rate] == k))
         marked[k] = rate
-    model = FieldModel(lexicon, {f: w[i] for f, i in index.items()}, marked, 0.0, 0.0)
-    agree = {"skip": [1.0, 2.0], "chain": [1.0, 2.0]}
-    for text, _ in rows[: len(rows) // 3]:
-        nodes = candidates(text, lexicon)
-        if len(nodes) > 1:
-            best = model.unary(text, nodes).argmax(axis=1)
-            model.skip, model.chain = 1.0, 0.0
-            for a, b, weight in model.edges(text, nodes):
-                e = agree["skip" if weight else "chain"]
-                e[0] += best[a] == best[b]
-                e[1] += 1
-    odds = {k: float(np.clip(0.5 * np.log(max(1e-3, s / n) / max(1e-3, 1 - s / n)), 0.0, 2.0)) for k, (s, n) in agree.items()}
-    model.skip, model.chain = odds["skip"], min(odds["chain"], 0.5)
-    return model
+    true = np.minimum(p / (LENIENT * marked), 1.0)
+    true[:, 0] = 1 - np.minimum(true[:, 1:].sum(axis=1), 1.0)
+    likely = np.where(y > 0, y, true.argmax(axis=1))  # a mark is right; what is left out is judged by the rate
+    ties = np.zeros((len(y), len(TIES), len(KINDS)))
+    for a, b, k in tied:
+        ties[a, k, likely[b]] += 1
+        ties[b, k, likely[a]] += 1
+    w, t = _pseudo_likelihood(x, likely, mask, len(index), ties, rounds)
+    return FieldModel(lexicon, {f: tuple(w[i].tolist()) for f, i in index.items()}, tuple(t.tolist()))
 
 
 def fit_on(df: DataFrame, key: str, text: str = "text", spans: str = "spans", sample: int = SAMPLE) -> FieldModel:
@@ -445,8 +504,8 @@ def find_personal(df: DataFrame, key: str, model: FieldModel, text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, a, b, kinds = [], [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                for start, end, kind in shared.value.label(t) if t else ():
+            for i, mentions in enumerate(shared.value.label_all(batch.column(1).to_pylist())):
+                for start, end, kind in mentions:
                     at.append(i)
                     a.append(start)
                     b.append(end)
@@ -472,7 +531,8 @@ def redacted(df: DataFrame, key: str, model: FieldModel, text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [redact(t, shared.value.label(t)) if t else t for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            texts = [redact(t, m) if m else t for t, m in zip(texts, shared.value.label_all(texts))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["key", "text"])
 
     return df.select(key, text).mapInArrow(run, f"key {key_type}, text string").withColumnRenamed("key", key)

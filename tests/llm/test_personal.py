@@ -97,3 +97,32 @@ def test_lexicon_is_of_all_rows_whatever_the_sample(spark):
     want = personal.learn_lexicon([(t, s) for _, t, s, _ in data])
     got = personal.fit_on(df, "ann_id", sample=60).lexicon
     assert "zelda" in got.given and (got.given, got.common) == (want.given, want.common)
+
+
+def test_texts_of_a_batch_do_not_affect_each_other(model):
+    data, _ = rows(random.Random(8), 40)
+    texts = [t for _, t, _, _ in data] + [None, ""]
+    assert model.label_all(texts) == [model.label(t) if t else [] for t in texts]
+
+
+def test_ties_join_tokens_the_same_or_alike(model):
+    text = "Spoke with Anna Müllerand. Then with Carla Mulerand and Anna Müllerand."
+    nodes = personal.candidates(text, model.lexicon)
+    kinds = {(a, b): personal.TIES[k] for a, b, k in personal.edges(text, nodes)}
+    assert [text[c.start : c.end].split()[-1] for c in nodes] == ["Müllerand", "Mulerand", "Müllerand"]
+    assert kinds[0, 2] == "same" and kinds[0, 1] == "alike"
+
+
+def test_ties_are_learned_where_they_tell(spark):
+    """A bare number is hardly ever a passport number, but is one where the text gives it as one elsewhere."""
+    rnd = random.Random(5)
+    data = []
+    for _ in range(500):
+        number, personal_data = f"9{rnd.randrange(10**8):08d}", rnd.random() < 0.15
+        text = f"{'passport' if personal_data else 'build'} {number} was seen. The box says {number} twice."
+        at = [i for i in range(len(text)) if text.startswith(number, i)]
+        data.append((text, [{"start": a, "end": a + len(number), "label": "TAXNUM"} for a in at] if personal_data else []))
+    model = personal.fit(data)
+    assert model.ties[0] > 0.3
+    right = sum(len(model.label(t)) == len(s) for t, s in data[:200])
+    assert right > 190
