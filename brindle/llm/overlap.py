@@ -46,9 +46,9 @@ EVERYWHERE = 0.5
 BITS = ((40, 128), (130, 256), (300, 512), (800, 1024), (1 << 62, 2048))
 LONGS = 32
 #: Words of texts that a task keeps in hand while it compares pairs.
-KEPT_WORDS = 3_000_000
+KEPT_WORDS = 500_000
 #: Rows and words of a chunk that is worked on at once.
-ROWS, WORDS = 2048, 400_000
+ROWS, WORDS = 1024, 150_000
 MOST_BROADCAST = 200_000
 _TAG = re.compile(r"<[^<>\n]{1,60}>|&[a-z]{2,8};|&#\d{1,6};")
 _WORD = re.compile(r"[^\W_]+")
