@@ -86,6 +86,23 @@ def point_score(p: Column, q: Column, radius: float = 0.05) -> Column:
     return F.when(d <= radius, 1 - d / radius).otherwise(F.lit(0.0))
 
 
+def pair_score(pred: Column, gold: Column, task: str, radius: float = 0.05) -> Column:
+    """Agreement of two objects ``struct<box, point>`` (either may be null): IoU for ``box``; for ``point`` 1 inside the gold's box, else by distance.
+
+    Null where they cannot be compared.
+    """
+    if task == "box":
+        return F.when(pred["box"].isNotNull() & gold["box"].isNotNull(), iou(pred["box"], gold["box"]))
+    inside = point_in_box(pred["point"], gold["box"]).cast("double")
+    near = F.when(gold["point"].isNotNull(), point_score(pred["point"], gold["point"], radius))
+    return F.when(pred["point"].isNotNull(), F.when(gold["box"].isNotNull(), inside).otherwise(near))
+
+
+def coordinates(box: Column, point: Column, task: str) -> Column:
+    """What a task serialises: the box, or the point, which falls back to the centre of the box."""
+    return box if task == "box" else F.coalesce(point, centre(box))
+
+
 def denormalize(coords: Column, width: Column, height: Column) -> Column:
     """Unit coordinates as pixels: even places by width, odd ones by height."""
     return F.transform(coords, lambda v, i: v * F.when(i % 2 == 0, width).otherwise(height))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPAN = "struct<start:int,end:int,label:string>"
 EMPTY = f"CAST(array() AS array<{SPAN}>)"
@@ -75,19 +77,59 @@ def shift(spans: Column, by: Column) -> Column:
     return F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["label"].alias("label")))
 
 
-def first_over(spans: Column, start: Column, end: Column) -> Column:
-    """Number of the first span (in order) that overlaps ``[start, end)``, or null."""
-    hit = F.array_position(F.transform(spans, lambda s: (s["end"] > start) & (s["start"] < end)), F.lit(True))
-    return F.when(hit > 0, hit)
-
-
-def bio_tags(tokens: Column, spans: Column) -> Column:
-    """B-, I- or O for every token: I only where the token before it has the same span."""
-    which = F.transform(tokens, lambda t: F.coalesce(first_over(spans, t["start"], t["end"]), F.lit(0)))
-
-    def tag(k: Column, i: Column) -> Column:
-        label = F.element_at(spans, k.cast("int"))["label"]
-        same = (i > 0) & (F.get(which, i - 1) == k)
-        return F.when(k == 0, "O").when(same, F.concat(F.lit("I-"), label)).otherwise(F.concat(F.lit("B-"), label))
-
-    return F.transform(which, tag)
+IGNORED = "-100"
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _aligned(starts: pa.Array, ends: pa.Array, specials: pa.Array, spans: pa.Array, everywhere: pa.Array) -> pa.Array:
+    out = []
+    for a, b, special, marks, all_tokens in zip(*(c.to_pylist() for c in (starts, ends, specials, spans, everywhere))):
+        if a is None:
+            out.append(None)
+            continue
+        marks = sorted((m for m in marks or () if m and m["label"] is not None and m["start"] is not None and m["end"] is not None), key=lambda m: m["start"])
+        tags, before, first, behind = [], None, 0, 0
+        for i, (start, end) in enumerate(zip(a, b)):
+            if special and special[i]:
+                tags.append(IGNORED)
+                before = None
+                continue
+            first, behind = (0 if start < behind else first), start
+            while first < len(marks) and marks[first]["end"] <= start:
+                first += 1  # tokens come in order as a rule: what ends before this one ends before the next
+            at = first
+            while at < len(marks) and marks[at]["end"] <= start:
+                at += 1
+            over = at if at < len(marks) and marks[at]["start"] < end else None
+            if over is None:
+                tags.append("O")
+            elif over != before:
+                tags.append("B-" + marks[over]["label"])
+            else:
+                tags.append("I-" + marks[over]["label"] if all_tokens else IGNORED)
+            before = over
+        out.append(tags)
+    return pa.array(out, pa.list_(pa.string()))
+
+
+def bio_tags(tokens: Column, spans: Column, special: Column | None = None, all_tokens: bool = True) -> Column:
+    """B-, I- or O for every token, by the first span in order of start that overlaps it.
+
+    I only where the token before it has the same span; with ``all_tokens`` off
+    such a token is ``-100`` instead, as is one that ``special`` (an array of 0
+    and 1) names, and no span goes on behind that.  Spans without a label count
+    as none; null tokens give null.
+    """
+    starts, ends = F.transform(tokens, lambda t: t["start"]), F.transform(tokens, lambda t: t["end"])
+    return _aligned(starts, ends, special if special is not None else F.lit(None).cast("array<int>"), spans, F.lit(all_tokens))
+
+
+def known_labels(spans: Column, labels: list[str]) -> Column:
+    """Spans of the labels given; others are left out, so their tokens are O."""
+    return F.filter(spans, lambda s: s["label"].isin(labels))
+
+
+def tag_ids(tags: Column, vocabulary: list[str]) -> Column:
+    """Places of tags in a vocabulary, -100 for what is ignored; an unknown tag is null."""
+    ids = F.create_map(*[x for i, tag in enumerate(vocabulary) for x in (F.lit(tag), F.lit(i))], F.lit(IGNORED), F.lit(-100))
+    return F.transform(tags, lambda t: F.try_element_at(ids, t))

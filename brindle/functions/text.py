@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -59,6 +60,43 @@ def tokens_with_offsets(text: Column) -> Column:
     return _offsets(text)
 
 
+@F.arrow_udf(T.IntegerType())
+def _runs(queries: pa.Array, passages: pa.Array) -> pa.Array:
+    out = []
+    for q, p in zip(queries.to_pylist(), passages.to_pylist()):
+        best, ends = 0, {}
+        if q and p:
+            words, places = _WORDS.findall(q), defaultdict(list)
+            wanted = set(words)
+            for i, w in enumerate(_WORDS.findall(p)):
+                if w in wanted:
+                    places[w].append(i)
+            for w in words:  # runs by the place they end at in the passage
+                ends = {i: ends.get(i - 1, 0) + 1 for i in places.get(w, ())}
+                best = max(best, max(ends.values(), default=0))
+        out.append(best)
+    return pa.array(out, pa.int32())
+
+
+def longest_run(query: Column, passage: Column) -> Column:
+    """Words of the longest run of the query that the passage repeats, case aside; 0 without any.
+
+    Row by row: a run is found where both texts are, so nothing is shuffled.
+    """
+    return _runs(F.lower(query), F.lower(passage))
+
+
+@F.arrow_udf(T.IntegerType())
+def _shared(a: pa.Array, b: pa.Array) -> pa.Array:
+    both = zip(a.to_pylist(), b.to_pylist())
+    return pa.array([sum((Counter(x.split(" ")) & Counter(y.split(" "))).values()) if x and y else 0 for x, y in both], pa.int32())
+
+
+def shared_words(a: Column, b: Column) -> Column:
+    """Words, parted by single spaces, that two texts have in common, as multisets."""
+    return _shared(a, b)
+
+
 def window_starts(n: Column, size: int, overlap: int, least: int = 0) -> Column:
     """Window numbers of ``size`` tokens with ``overlap``: a later window needs ``least`` tokens, none begins after the end is reached."""
     stride = size - overlap

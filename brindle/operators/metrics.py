@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from brindle.functions import text as tx
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -85,16 +89,19 @@ def class_summary(df: DataFrame, gold: str, pred: str) -> DataFrame:
 
 
 def text_scores(df: DataFrame, key: str, pred: str, gold: str) -> DataFrame:
-    """``(key, em, f1)``: equality up to white space, and F1 of the words as multisets."""
+    """``(key, em, f1)``: equality up to white space, and F1 of the words as multisets; a null text is empty."""
     squash = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " "))
-    src = df.select(F.col(key).alias("_k"), squash(pred).alias("p"), squash(gold).alias("g"))
-    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
-    sized = src.withColumn("np", F.size(words("p"))).withColumn("ng", F.size(words("g")))
-    side = lambda c, n: sized.select("_k", F.explode(words(c)).alias("w")).groupBy("_k", "w").agg(F.count("*").alias(n))
-    same = side("p", "a").join(side("g", "b"), ["_k", "w"]).groupBy("_k").agg(F.sum(F.least("a", "b")).alias("same"))
-    j = sized.join(same, "_k", "left").na.fill(0, ["same"])
-    f1 = harmonic(ratio(F.col("same"), F.col("np")), ratio(F.col("same"), F.col("ng")))
-    return j.select(F.col("_k").alias(key), (F.col("p") == F.col("g")).cast("int").alias("em"), F.round(f1, 6).alias("f1"))
+    src = df.select(F.col(key), squash(pred).alias("_p"), squash(gold).alias("_g"))
+    n = lambda c: F.when(F.col(c) == "", 0).otherwise(F.size(F.split(c, " ")))
+    same = src.withColumn("_same", tx.shared_words(F.col("_p"), F.col("_g")))
+    f1 = harmonic(ratio(F.col("_same"), n("_p")), ratio(F.col("_same"), n("_g")))
+    return same.select(key, (F.col("_p") == F.col("_g")).cast("int").alias("em"), F.round(f1, 6).alias("f1"))
+
+
+def text_summary(scores: DataFrame) -> DataFrame:
+    """``(n, exact_match, token_f1)`` of a corpus: means of the rows of ``text_scores``; 0 without rows."""
+    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6)
+    return scores.agg(F.count("*").alias("n"), mean("em").alias("exact_match"), mean("f1").alias("token_f1"))
 
 
 def retrieval_metrics(queries: DataFrame, hits: DataFrame, positives: DataFrame, k: int = 10) -> DataFrame:
@@ -114,55 +121,142 @@ def metric_delta(base: DataFrame, tuned: DataFrame, on: str) -> DataFrame:
     return j.withColumn("delta", F.round(F.col("tuned") - F.col("base"), 6))
 
 
-def greedy_pairs(candidates: DataFrame, group: list[str]) -> DataFrame:
-    """``(group, n)``: one-to-one matches taken by falling ``score``, then ``pred``, then ``gold``.
-
-    A group's candidates, those of one image, are folded in one row.
-    """
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "pred", "gold")))
-    start = F.struct(F.expr("CAST(array() AS array<int>)").alias("ps"), F.expr("CAST(array() AS array<int>)").alias("gs"))
-
-    def step(acc: Column, c: Column) -> Column:
-        free = ~F.array_contains(acc["ps"], c["pred"]) & ~F.array_contains(acc["gs"], c["gold"])
-        taken = F.struct(F.concat(acc["ps"], F.array(c["pred"])).alias("ps"), F.concat(acc["gs"], F.array(c["gold"])).alias("gs"))
-        return F.when(free, taken).otherwise(acc)
-
-    return candidates.groupBy(*group).agg(F.aggregate(ordered, start, step, lambda acc: F.size(acc["ps"])).alias("n"))
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("pred", T.LongType()), T.StructField("gold", T.LongType()), T.StructField("score", T.DoubleType())])))
+def _greedy(groups: pa.Array) -> pa.Array:
+    out = []
+    for group in groups.to_pylist():
+        preds, golds, taken = set(), set(), []
+        for c in sorted(group, key=lambda c: (-c["score"], c["pred"], c["gold"])):
+            if c["pred"] not in preds and c["gold"] not in golds:
+                preds.add(c["pred"])
+                golds.add(c["gold"])
+                taken.append(c)
+        out.append(taken)
+    return pa.array(out, pa.list_(pa.struct([("pred", pa.int64()), ("gold", pa.int64()), ("score", pa.float64())])))
 
 
-def matched_detections(candidates: DataFrame, detections: DataFrame, group: list[str]) -> DataFrame:
-    """``(group, pred, det_score, hit)``: by falling detection score, each takes its best free gold.
+def greedy_matches(candidates: DataFrame, group: list[str]) -> DataFrame:
+    """``(group, pred, gold, score)``: one-to-one matches taken by falling ``score``, then ``pred``, then ``gold``.
 
-    ``candidates`` has ``pred, det_score, gold, iou`` above the threshold.
+    A group's candidates, those of one image, are gathered in one row.  What is
+    matched at a threshold are the matches of at least it: a candidate below
+    comes after all above and takes nothing from them, so one pass serves all
+    thresholds.
     """
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("det_score")).alias("s"), "pred", (-F.col("iou")).alias("i"), "gold")))
-    start = F.struct(F.expr("CAST(array() AS array<int>)").alias("ps"), F.expr("CAST(array() AS array<int>)").alias("gs"))
-
-    def step(acc: Column, c: Column) -> Column:
-        free = ~F.array_contains(acc["ps"], c["pred"]) & ~F.array_contains(acc["gs"], c["gold"])
-        taken = F.struct(F.concat(acc["ps"], F.array(c["pred"])).alias("ps"), F.concat(acc["gs"], F.array(c["gold"])).alias("gs"))
-        return F.when(free, taken).otherwise(acc)
-
-    hits = candidates.groupBy(*group).agg(F.aggregate(ordered, start, step, lambda acc: acc["ps"]).alias("ps"))
-    return detections.join(hits, group, "left").withColumn("hit", F.coalesce(F.array_contains("ps", F.col("pred")), F.lit(False)).cast("int")).drop("ps")
+    each = F.struct(F.col("pred").cast("bigint").alias("pred"), F.col("gold").cast("bigint").alias("gold"), F.col("score").cast("double").alias("score"))
+    taken = candidates.groupBy(*group).agg(F.collect_list(each).alias("_c")).select(*group, F.explode(_greedy("_c")).alias("m"))
+    return taken.select(*group, "m.pred", "m.gold", "m.score")
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("pred", T.LongType()), T.StructField("level", T.IntegerType())])))
+def _best_gold(groups: pa.Array, levels: pa.Array) -> pa.Array:
+    out = []
+    for group, thresholds in zip(groups.to_pylist(), levels.to_pylist()):
+        ordered = sorted(group, key=lambda c: (-c["det_score"], c["pred"], -c["iou"], c["gold"]))
+        hits = []
+        for i, least in enumerate(thresholds):
+            golds, last = set(), None
+            for c in ordered:
+                if c["iou"] >= least and c["pred"] != last and c["gold"] not in golds:
+                    golds.add(c["gold"])
+                    last = c["pred"]
+                    hits.append({"pred": last, "level": i})
+        out.append(hits)
+    return pa.array(out, pa.list_(pa.struct([("pred", pa.int64()), ("level", pa.int32())])))
+
+
+def matched_detections(candidates: DataFrame, group: list[str], levels: list[float]) -> DataFrame:
+    """``(group, pred, iou)``: at each level of ``iou``, by falling detection score, each detection takes its best free gold.
+
+    ``candidates`` has ``pred, det_score, gold, iou``; a group is one label of one image.
+    """
+    each = F.struct(F.col("pred").cast("bigint").alias("pred"), "det_score", F.col("gold").cast("bigint").alias("gold"), "iou")
+    at = F.array(*[F.lit(x) for x in levels])
+    hits = candidates.filter(F.col("iou") >= min(levels)).groupBy(*group).agg(F.collect_list(each).alias("_c")).select(*group, F.explode(_best_gold("_c", at)).alias("h"))
+    return hits.select(*group, "h.pred", F.element_at(at, F.col("h.level") + 1).alias("iou"))
 
 
 def average_precision(marked: DataFrame, n_gold: DataFrame, group: list[str], buckets: int = 512) -> DataFrame:
     """``(group, ap)`` by 101-point interpolation of ``(group, det_score in [0, 1], hit)``; -1 without gold.
 
-    Running counts add up from score buckets, so no class is ordered in one task.
+    A column ``n`` says how many detections a row stands for.  Detections of one
+    score count together, their order among themselves is no ranking.  Running
+    counts add up from score buckets, so no class is ordered in one task.
     """
-    m = marked.withColumn("_b", F.least(F.floor(F.col("det_score") * buckets), F.lit(buckets - 1)))
-    sums = m.groupBy(*group, "_b").agg(F.sum("hit").alias("_h"), F.count("*").alias("_c"))
+    n = F.sum("n") if "n" in marked.columns else F.count("*")
+    m = marked.groupBy(*group, "det_score").agg(F.sum("hit").alias("hit"), n.alias("n"))
+    m = m.withColumn("_b", F.least(F.floor(F.col("det_score") * buckets), F.lit(buckets - 1)))
+    sums = m.groupBy(*group, "_b").agg(F.sum("hit").alias("_h"), F.sum("n").alias("_c"))
     above = Window.partitionBy(*group).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(*group, "_b", F.coalesce(F.sum("_h").over(above), F.lit(0)).alias("_h0"), F.coalesce(F.sum("_c").over(above), F.lit(0)).alias("_c0"))
-    # detections of one score count together: their order among themselves is no ranking
-    inside = Window.partitionBy(*group, "_b").orderBy(F.desc("det_score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    run = m.join(F.broadcast(base), [*group, "_b"]).withColumn("tp", F.col("_h0") + F.sum("hit").over(inside)).withColumn("n", F.col("_c0") + F.count("*").over(inside))
+    inside = Window.partitionBy(*group, "_b").orderBy(F.desc("det_score"))
+    run = m.join(base, [*group, "_b"]).withColumn("tp", F.col("_h0") + F.sum("hit").over(inside)).withColumn("said", F.col("_c0") + F.sum("n").over(inside))
     points = run.join(n_gold, group).withColumn("at", F.floor(F.col("tp") * 100 / F.col("n_gold") + 1e-9).cast("int"))
-    top = points.groupBy(*group, "at").agg(F.max(F.col("tp") / F.col("n")).alias("p"))
+    top = points.groupBy(*group, "at").agg(F.max(F.col("tp") / F.col("said")).alias("p"))
     grid = n_gold.select(*group, F.explode(F.sequence(F.lit(0), F.lit(100))).alias("at")).join(top, [*group, "at"], "left")
     better = Window.partitionBy(*group).orderBy(F.desc("at"))
     envelope = grid.withColumn("e", F.coalesce(F.max("p").over(better.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
     ap = envelope.groupBy(*group).agg(F.sum("e").alias("s")).join(n_gold, group)
     return ap.select(*group, F.when(F.col("n_gold") > 0, F.round(F.col("s") / 101, 6)).otherwise(F.lit(-1.0)).alias("ap"))
+
+
+COCO_IOUS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
+MOST_DETECTIONS = (1, 10, 100)
+
+
+def coco_hits(candidates: DataFrame, detections: DataFrame, image: str, label: str, levels: tuple[float, ...] = COCO_IOUS, most: int = 100) -> DataFrame:
+    """``(image, label, pred, det_score, rank, iou)``: a row for each level at which a detection is a hit, and one with null ``iou`` for itself.
+
+    ``detections`` has ``image, label, pred, det_score``, ``candidates`` their
+    ``gold`` and ``iou`` besides.  Only the ``most`` best detections of a label
+    in an image count, as the metric has it.
+    """
+    by = Window.partitionBy(image, label).orderBy(F.desc("det_score"), "pred")
+    ranked = detections.select(image, label, F.col("pred").cast("bigint").alias("pred"), "det_score").withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= most)
+    meant = candidates.select(image, label, F.col("pred").cast("bigint").alias("pred"), "gold", "iou").join(ranked, [image, label, "pred"])
+    hits = matched_detections(meant, [image, label], list(levels)).join(ranked, [image, label, "pred"])
+    columns = [image, label, "pred", "det_score", "rank", "iou"]
+    return hits.select(*columns).unionByName(ranked.withColumn("iou", F.lit(None).cast("double")).select(*columns))
+
+
+def coco_average_precision(hits: DataFrame, n_gold: DataFrame, label: str, levels: tuple[float, ...] = COCO_IOUS) -> DataFrame:
+    """``(label, iou, ap)`` of the rows of ``coco_hits``; ``n_gold`` has ``label, n_gold``."""
+    counted = hits.groupBy(label, "det_score", "iou").agg(F.count("*").alias("c"))
+    said = counted.filter("iou IS NULL").select(label, "det_score", F.col("c").alias("n"))
+    every = F.explode(F.array(*[F.lit(x) for x in levels]))
+    marked = said.withColumn("iou", every).join(counted.filter("iou IS NOT NULL").withColumnRenamed("c", "hit"), [label, "det_score", "iou"], "left").na.fill(0, ["hit"])
+    return average_precision(marked, n_gold.withColumn("iou", every), [label, "iou"])
+
+
+def coco_average_recall(hits: DataFrame, n_gold: DataFrame, label: str, levels: tuple[float, ...] = COCO_IOUS) -> DataFrame:
+    """``(label, most, ar)``: recall with the best 1, 10 and 100 detections of an image, mean over the levels."""
+    ks = F.explode(F.filter(F.array(*[F.lit(k) for k in MOST_DETECTIONS]), lambda k: k >= F.col("rank")))
+    found = hits.filter("iou IS NOT NULL").select(label, ks.alias("most")).groupBy(label, "most").agg(F.count("*").alias("c"))
+    every = n_gold.withColumn("most", F.explode(F.array(*[F.lit(k) for k in MOST_DETECTIONS]))).join(found, [label, "most"], "left").na.fill(0, ["c"])
+    recall = F.round(F.col("c") / (F.col("n_gold") * len(levels)), 6)
+    return every.select(label, "most", F.when(F.col("n_gold") > 0, recall).otherwise(F.lit(-1.0)).alias("ar"))
+
+
+def map_summary(ap: DataFrame, ar: DataFrame, label: str) -> DataFrame:
+    """``(metric, value)``: map, map_50, map_75, mar_1, mar_10, mar_100 and map_<label>; -1 where there is no data.
+
+    One label alone gives the same rows as several do.
+    """
+    a, r = ap.filter("ap >= 0"), ar.filter("ar >= 0")
+    value = lambda c: F.coalesce(F.round(F.avg(c), 6), F.lit(-1.0)).alias("value")
+    rows = [a.agg(F.lit("map").alias("metric"), value("ap"))]
+    rows += [a.filter(F.abs(F.col("iou") - t / 100) < 1e-9).agg(F.lit(f"map_{t}").alias("metric"), value("ap")) for t in (50, 75)]
+    rows += [r.filter(F.col("most") == k).agg(F.lit(f"mar_{k}").alias("metric"), value("ar")) for k in MOST_DETECTIONS]
+    out = a.groupBy(F.concat(F.lit("map_"), F.col(label)).alias("metric")).agg(value("ap"))
+    for row in rows:
+        out = out.unionByName(row)
+    return out
+
+
+def grounding_counts(matches: DataFrame, pred: DataFrame, gold: DataFrame, levels: list[float], by: list[str]) -> DataFrame:
+    """``(iou, by, tp, fp, fn)`` at each level of the rows of ``greedy_matches``; predictions and golds are counted ``by`` as well."""
+    reached = F.explode(F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x <= F.col("score")))
+    tp = matches.select(*by, reached.alias("iou")).groupBy(*by, "iou").agg(F.count("*").alias("tp"))
+    sizes = pred.select(*by, F.lit(1).alias("p"), F.lit(0).alias("g")).unionAll(gold.select(*by, F.lit(0), F.lit(1))).groupBy(*by).agg(F.sum("p").alias("n_pred"), F.sum("g").alias("n_gold"))
+    every = sizes.withColumn("iou", F.explode(F.array(*[F.lit(x) for x in levels]))).join(tp, [*by, "iou"], "left").na.fill(0, ["tp"])
+    return every.select(*by, "iou", "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_gold") - F.col("tp")).alias("fn"))

@@ -37,32 +37,16 @@ class PairConfig:
             raise ValueError("dedup_scope is anchor or anchor_positive")
 
 
-def verbatim_runs(df: DataFrame, key: str, query: str, passage: str, longest_query: int | None = None) -> DataFrame:
-    """``(key, run)``: the longest run of the query's words that the passage repeats; 0 without any.
-
-    Words meet in a join by key and word; equal differences of their places are
-    diagonals, and neighbours on one are a run.  Queries above ``longest_query``
-    words are left out before anything is joined.
-    """
-    src = df.select(F.col(key).alias("_k"), tx.word_tokens(F.coalesce(F.col(query), F.lit(""))).alias("q"), tx.word_tokens(F.coalesce(F.col(passage), F.lit(""))).alias("p"))
-    if longest_query:
-        src = src.filter(F.size("q") <= longest_query)
-    # a passage word that no query word equals can be in no run
-    q = src.select("_k", F.posexplode("q").alias("qi", "w"))
-    p = src.select("_k", F.explode(F.filter(F.transform("p", lambda w, i: F.struct(w.alias("w"), i.alias("pi"))), lambda s: F.array_contains("q", s["w"]))).alias("s")).select("_k", "s.w", "s.pi")
-    hits = q.join(p, ["_k", "w"]).select("_k", (F.col("qi") - F.col("pi")).alias("diag"), "qi")
-    at = Window.partitionBy("_k", "diag").orderBy("qi")
-    islands = hits.withColumn("island", F.col("qi") - F.row_number().over(at))
-    runs = islands.groupBy("_k", "diag", "island").agg(F.count("*").alias("n")).groupBy("_k").agg(F.max("n").alias("run"))
-    return src.select("_k").join(runs, "_k", "left").select(F.col("_k").alias(key), F.coalesce("run", F.lit(0)).alias("run"))
-
-
-def heuristic_keep(df: DataFrame, key: str, query: str, passage: str, cfg: PairConfig) -> DataFrame:
+def verbatim_runs(df: DataFrame, key: str, query: str, passage: str) -> DataFrame:
+    """``(key, run)``: the longest run of the query's words that the passage repeats; 0 without any, or where one is null."""
+    return df.select(key, tx.longest_run(F.col(query), F.col(passage)).alias("run"))
+
+
+def heuristic_keep(df: DataFrame, query: str, passage: str, cfg: PairConfig) -> DataFrame:
     """Rows whose query has an allowed number of words and copies no long run; cheap tests come first."""
     n = F.size(tx.word_tokens(F.col(query)))
     ready = df.filter(F.col(query).rlike(r"\S") & F.col(passage).rlike(r"\S") & n.between(cfg.min_words, cfg.max_words))
-    runs = verbatim_runs(ready, key, query, passage).filter(F.col("run") <= cfg.max_verbatim)
-    return ready.join(runs.select(key), key)
+    return ready.filter(tx.longest_run(F.col(query), F.col(passage)) <= cfg.max_verbatim)
 
 
 def dedup(df: DataFrame, anchor: str, order: Column, scope: list[str] | None = None) -> DataFrame:
@@ -83,7 +67,7 @@ def filter_pairs(df: DataFrame, key: str, query: str, passage: str, cfg: PairCon
     """Heuristics, then dedup, then judge."""
     if cfg.judge and score is None:
         raise ValueError("the judge is on but there is no score column")
-    kept = heuristic_keep(df, key, query, passage, cfg)
+    kept = heuristic_keep(df, query, passage, cfg)
     if cfg.dedup:
         kept = dedup(kept, query, F.col(key), [query, passage] if cfg.dedup_scope == "anchor_positive" else None)
     return kept.filter(F.col(score) >= cfg.min_score) if cfg.judge else kept

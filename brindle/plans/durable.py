@@ -15,6 +15,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    if not configured and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if configured:
         if context._jsc.sc().getCheckpointDir().isEmpty():
             context.setCheckpointDir(configured)
@@ -34,3 +36,9 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     """One of the test tables, pruned to ``columns`` where any are named."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores (small files) dealt to all cores; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

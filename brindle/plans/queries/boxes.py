@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import geometry as geo
@@ -102,7 +102,10 @@ def denormalize(spark: SparkSession, d: str) -> DataFrame:
 
 
 SHIFT = "(l_suppkey % 7) * 0.006::DOUBLE"
-CAND = f"""{BOX}, pred AS (SELECT image, ix, label, x1 + {SHIFT} AS x1, y1, x2 + {SHIFT} AS x2, y2 FROM box WHERE ix % 4 <> 0),
+#: Line numbers repeat within an order, so the boxes of an image are numbered anew before they are matched.
+UNIQUE = f"""every AS (SELECT * FROM ({UNIT}) WHERE x2 > x1 AND y2 > y1),
+  box AS (SELECT image, row_number() OVER (PARTITION BY image ORDER BY ix, l_suppkey, label, x1, y1, x2, y2) AS ix, label, l_suppkey, x1, y1, x2, y2 FROM every)"""
+CAND = f"""{UNIQUE}, pred AS (SELECT image, ix, label, x1 + {SHIFT} AS x1, y1, x2 + {SHIFT} AS x2, y2 FROM box WHERE ix % 4 <> 0),
   cand AS (SELECT * FROM (SELECT p.image, p.ix AS pred, g.ix AS gold, round({IOU.format(a='p', b='g')}, 9) AS score FROM pred p JOIN box g ON p.image = g.image AND p.label = g.label, LATERAL (SELECT {INTER.format(a='p', b='g')} AS i)) WHERE score > 0)"""
 MATCH = f"""{CAND}, th AS (SELECT unnest({{ths}})::DOUBLE AS iou),
   o AS (SELECT iou, image, pred, gold, row_number() OVER (PARTITION BY iou, image ORDER BY score DESC, pred, gold) AS k FROM cand JOIN th ON score >= iou),
@@ -113,7 +116,8 @@ MATCH = f"""{CAND}, th AS (SELECT unnest({{ths}})::DOUBLE AS iou),
 
 
 def _predictions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    gold = _boxes(spark, d)
+    order = Window.partitionBy("image").orderBy("ix", "l_suppkey", "label", *[F.col("box")[i] for i in range(4)])
+    gold = _boxes(spark, d).withColumn("ix", F.row_number().over(order))
     by = (F.col("l_suppkey") % 7) * 0.006
     moved = F.array(F.col("box")[0] + by, F.col("box")[1], F.col("box")[2] + by, F.col("box")[3])
     return gold.filter("ix % 4 != 0").withColumn("box", moved), gold
@@ -128,43 +132,103 @@ def _candidates(pred: DataFrame, gold: DataFrame) -> DataFrame:
 
 @query("box_match", f"WITH RECURSIVE {MATCH.format(ths=[0.5])} SELECT image, n::INT AS n FROM n")
 def box_match(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.greedy_pairs(_candidates(*_predictions(spark, d)).filter("score >= 0.5"), ["image"])
+    taken = metrics.greedy_matches(_candidates(*_predictions(spark, d)).filter("score >= 0.5"), ["image"])
+    return taken.groupBy("image").agg(F.count("*").cast("int").alias("n"))
+
+
+F1 = "round(CASE WHEN tp > 0 THEN 2 * (tp / (tp + fp)::DOUBLE) * (tp / (tp + fn)::DOUBLE) / (tp / (tp + fp)::DOUBLE + tp / (tp + fn)::DOUBLE) ELSE 0 END, 6)"
+MATCHED = f"""{MATCH.format(ths=IOUS)}, t AS (SELECT th.iou, coalesce(sum(n), 0)::BIGINT AS tp FROM th LEFT JOIN n USING (iou) GROUP BY th.iou),
+        f AS (SELECT iou, tp, (SELECT count(*) FROM pred) - tp AS fp, (SELECT count(*) FROM box) - tp AS fn FROM t)"""
+
+
+def _grounding(spark: SparkSession, d: str, by: list[str]) -> DataFrame:
+    pred, gold = _predictions(spark, d)
+    matches = metrics.greedy_matches(_candidates(pred, gold).filter(F.col("score") >= min(IOUS)), ["image", "label"])
+    return metrics.with_prf(metrics.grounding_counts(matches, pred, gold, IOUS, by))
+
+
+@query("grounding_f1", f"WITH RECURSIVE {MATCHED} SELECT iou, tp, fp, fn, {F1} AS f1 FROM f")
+def grounding_f1(spark: SparkSession, d: str) -> DataFrame:
+    return _grounding(spark, d, []).select("iou", "tp", "fp", "fn", "f1")
+
+
+@query("f1_iou_avg", f"WITH RECURSIVE {MATCHED} SELECT round(avg(f1), 6) AS f1_iou_avg FROM (SELECT {F1} AS f1 FROM f)")
+def f1_iou_avg(spark: SparkSession, d: str) -> DataFrame:
+    return _grounding(spark, d, []).agg(F.round(F.avg("f1"), 6).alias("f1_iou_avg"))
 
 
 @query(
-    "grounding_f1",
-    f"""WITH RECURSIVE {MATCH.format(ths=IOUS)}, t AS (SELECT th.iou, coalesce(sum(n), 0)::BIGINT AS tp FROM th LEFT JOIN n USING (iou) GROUP BY th.iou),
-        f AS (SELECT iou, tp, (SELECT count(*) FROM pred) - tp AS fp, (SELECT count(*) FROM box) - tp AS fn FROM t)
-        SELECT iou, tp, fp, fn, round(CASE WHEN tp > 0 THEN 2 * (tp / (tp + fp)::DOUBLE) * (tp / (tp + fn)::DOUBLE) / (tp / (tp + fp)::DOUBLE + tp / (tp + fn)::DOUBLE) ELSE 0 END, 6) AS f1 FROM f""",
+    "grounding_by_label",
+    f"""WITH RECURSIVE {CAND}, o AS (SELECT image, c.pred, gold, p.label, row_number() OVER (PARTITION BY image ORDER BY score DESC, c.pred, gold) AS k
+          FROM cand c JOIN (SELECT image, ix, label FROM pred) p USING (image) WHERE p.ix = c.pred AND score >= 0.5),
+      m AS (SELECT image, k, [pred] AS ps, [gold] AS gs, [label] AS ls FROM o WHERE k = 1
+        UNION ALL SELECT o.image, o.k, CASE WHEN f THEN list_append(ps, pred) ELSE ps END, CASE WHEN f THEN list_append(gs, gold) ELSE gs END, CASE WHEN f THEN list_append(ls, label) ELSE ls END
+        FROM m JOIN o ON o.image = m.image AND o.k = m.k + 1, LATERAL (SELECT NOT list_contains(ps, pred) AND NOT list_contains(gs, gold) AS f)),
+      t AS (SELECT label, count(*) AS tp FROM (SELECT unnest(ls) AS label FROM (SELECT arg_max(ls, k) AS ls FROM m GROUP BY image)) GROUP BY label),
+      f AS (SELECT label, coalesce(tp, 0) AS tp, np - coalesce(tp, 0) AS fp, ng - coalesce(tp, 0) AS fn FROM (SELECT label, count(*) AS ng FROM box GROUP BY label)
+            LEFT JOIN (SELECT label, count(*) AS np FROM pred GROUP BY label) USING (label) LEFT JOIN t USING (label))
+    SELECT label, tp, fp, fn, {F1} AS f1 FROM f""",
 )
-def grounding_f1(spark: SparkSession, d: str) -> DataFrame:
-    pred, gold = _predictions(spark, d)
-    levels = F.explode(F.filter(F.array(*[F.lit(t) for t in IOUS]), lambda t: t <= F.col("score")))
-    n = metrics.greedy_pairs(_candidates(pred, gold).withColumn("iou", levels), ["iou", "image"]).groupBy("iou").agg(F.sum("n").alias("tp"))
-    every = spark.createDataFrame([(t,) for t in IOUS], "iou double").join(n, "iou", "left").na.fill(0, ["tp"])
-    sizes = pred.agg(F.count("*").alias("n_pred")).crossJoin(gold.agg(F.count("*").alias("n_gold")))  # one row each
-    c = every.crossJoin(F.broadcast(sizes)).select("iou", "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_gold") - F.col("tp")).alias("fn"))
-    return metrics.with_prf(c).select("iou", "tp", "fp", "fn", "f1")
+def grounding_by_label(spark: SparkSession, d: str) -> DataFrame:
+    return _grounding(spark, d, ["label"]).filter("iou = 0.5").select("label", "tp", "fp", "fn", "f1")
 
 
-@query("coco_map")
-def coco_map(spark: SparkSession, d: str) -> DataFrame:
-    """Average precision by label and IoU; no SQL, checked against a loop in the tests."""
+@query(
+    "point_match",
+    f"""WITH {BOX}, c AS (SELECT image, ix, label, (x1 + x2) / 2 AS px, (y1 + y2) / 2 AS py, x1, y1, x2, y2 FROM box),
+      s AS (SELECT a.image, a.ix, b.ix AS gold, CASE WHEN b.ix % 2 = 0 THEN CASE WHEN a.px BETWEEN b.x1 AND b.x2 AND a.py BETWEEN b.y1 AND b.y2 THEN 1.0::DOUBLE ELSE 0 END
+          WHEN sqrt((a.px - b.px) ** 2 + (a.py - b.py) ** 2) <= 0.05::DOUBLE THEN 1 - sqrt((a.px - b.px) ** 2 + (a.py - b.py) ** 2) / 0.05::DOUBLE ELSE 0 END AS score
+        FROM c a JOIN c b ON a.image = b.image AND a.label = b.label AND a.ix <> b.ix)
+    SELECT image, ix, gold, round(score, 6) AS score FROM s WHERE score > 0""",
+)
+def point_match(spark: SparkSession, d: str) -> DataFrame:
+    """Points against golds of which the even ones keep their box and the odd ones are points."""
+    b = _boxes(spark, d).withColumn("point", geo.centre(F.col("box")))
+    p = b.select("image", "label", "ix", F.struct(F.lit(None).cast("array<double>").alias("box"), "point").alias("p"))
+    g = b.select("image", "label", F.col("ix").alias("gold"), F.struct(F.when(F.col("ix") % 2 == 0, F.col("box")).alias("box"), "point").alias("g"))
+    s = p.join(g, ["image", "label"]).filter("ix != gold").withColumn("score", geo.pair_score(F.col("p"), F.col("g"), "point"))
+    return s.filter("score > 0").select("image", "ix", "gold", F.round("score", 6).alias("score"))
+
+
+COCO = f"""{CAND}, th AS (SELECT unnest({IOUS})::DOUBLE AS iou),
+  det AS (SELECT image, label, ix AS pred, ((image * 31 + ix * 7) % 1000) / 1000.0::DOUBLE AS det_score FROM pred),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY image, label ORDER BY det_score DESC, pred) AS rank FROM det),
+  o AS (SELECT th.iou, c.image, d.label, c.pred, gold, det_score, rank, row_number() OVER (PARTITION BY th.iou, c.image, d.label ORDER BY det_score DESC, c.pred, score DESC, gold) AS k
+        FROM cand c JOIN ranked d ON d.image = c.image AND d.pred = c.pred JOIN th ON score >= th.iou WHERE rank <= 100),
+  m AS (SELECT iou, image, label, k, [pred] AS ps, [gold] AS gs FROM o WHERE k = 1
+    UNION ALL SELECT o.iou, o.image, o.label, o.k, CASE WHEN f THEN list_append(ps, pred) ELSE ps END, CASE WHEN f THEN list_append(gs, gold) ELSE gs END
+    FROM m JOIN o ON o.iou = m.iou AND o.image = m.image AND o.label = m.label AND o.k = m.k + 1, LATERAL (SELECT NOT list_contains(ps, pred) AND NOT list_contains(gs, gold) AS f)),
+  hit AS (SELECT h.iou, h.image, h.label, r.det_score, r.rank FROM (SELECT iou, image, label, unnest(ps) AS pred FROM (SELECT iou, image, label, arg_max(ps, k) AS ps FROM m GROUP BY ALL)) h JOIN ranked r ON r.image = h.image AND r.pred = h.pred),
+  ng AS (SELECT label, count(*) AS n_gold FROM box GROUP BY label),
+  said AS (SELECT label, det_score, count(*) AS n FROM ranked WHERE rank <= 100 GROUP BY ALL),
+  hs AS (SELECT label, iou, det_score, count(*) AS hit FROM hit GROUP BY ALL),
+  run AS (SELECT s.label, th.iou, sum(coalesce(hit, 0)) OVER w AS tp, sum(n) OVER w AS said FROM said s CROSS JOIN th LEFT JOIN hs ON hs.label = s.label AND hs.iou = th.iou AND hs.det_score = s.det_score
+          WINDOW w AS (PARTITION BY s.label, th.iou ORDER BY s.det_score DESC)),
+  top AS (SELECT label, iou, floor(tp * 100 / n_gold + 1e-9)::INT AS at, max(tp / said) AS p FROM run JOIN ng USING (label) GROUP BY ALL),
+  env AS (SELECT g.label, th.iou, coalesce(max(p) OVER (PARTITION BY g.label, th.iou ORDER BY g.at DESC), 0) AS e FROM (SELECT label, unnest(range(101)) AS at FROM ng) g CROSS JOIN th LEFT JOIN top ON top.label = g.label AND top.iou = th.iou AND top.at = g.at),
+  ap AS (SELECT label, iou, round(sum(e) / 101, 6) AS ap FROM env GROUP BY ALL),
+  ar AS (SELECT label, k AS most, round((SELECT count(*) FROM hit WHERE hit.label = ng.label AND rank <= k) / (n_gold * 10.0), 6) AS ar FROM ng, (SELECT unnest([1, 10, 100]) AS k))"""
+
+
+def _coco(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     pred, gold = _predictions(spark, d)
     score = (F.pmod(F.col("image") * 31 + F.col("ix") * 7, F.lit(1000)) / 1000.0).alias("det_score")
     det = pred.select("image", "label", F.col("ix").alias("pred"), score)
-    cand = _candidates(pred, gold).join(det, ["image", "label", "pred"]).select("image", "label", "pred", "gold", F.col("score").alias("iou_of"), "det_score")
-    levels = F.array(*[F.lit(t) for t in (0.5, 0.75)])
-    cand = cand.withColumn("iou", F.explode(F.filter(levels, lambda t: t <= F.col("iou_of")))).drop("iou_of")
-    again = _candidates(pred, gold).select("image", "label", "pred", "gold", F.col("score").alias("o"))
-    cand = cand.join(again, ["image", "label", "pred", "gold"]).withColumn("cut", F.col("iou")).withColumn("iou", F.col("o")).drop("o")
-    marked = metrics.matched_detections(cand, det.withColumn("cut", F.explode(levels)), ["image", "label", "cut"])
-    n_gold = gold.groupBy("label").agg(F.count("*").alias("n_gold")).withColumn("cut", F.explode(levels))
-    return metrics.average_precision(marked, n_gold, ["label", "cut"]).withColumnRenamed("cut", "iou")
+    hits = metrics.coco_hits(_candidates(pred, gold).withColumnRenamed("score", "iou"), det, "image", "label")
+    return hits, gold.groupBy("label").agg(F.count("*").alias("n_gold"))
 
 
-@query("map_summary")
+@query("coco_map", f"WITH RECURSIVE {COCO} SELECT label, iou, ap FROM ap")
+def coco_map(spark: SparkSession, d: str) -> DataFrame:
+    """Average precision by label at the ten IoUs."""
+    return metrics.coco_average_precision(*_coco(spark, d), "label")
+
+
+@query(
+    "map_summary",
+    f"""WITH RECURSIVE {COCO} SELECT 'map' AS metric, round(avg(ap), 6) AS value FROM ap UNION ALL SELECT 'map_50', round(avg(ap), 6) FROM ap WHERE iou = 0.5::DOUBLE UNION ALL SELECT 'map_75', round(avg(ap), 6) FROM ap WHERE iou = 0.75::DOUBLE
+        UNION ALL SELECT 'mar_' || most, round(avg(ar), 6) FROM ar GROUP BY most UNION ALL SELECT 'map_' || label, round(avg(ap), 6) FROM ap GROUP BY label""",
+)
 def map_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Mean over labels at each IoU, flat."""
-    ap = coco_map(spark, d).filter("ap >= 0")
-    return ap.groupBy("iou").agg(F.round(F.avg("ap"), 6).alias("map"), F.count("*").alias("n_labels"))
+    hits, n_gold = _coco(spark, d)
+    return metrics.map_summary(metrics.coco_average_precision(hits, n_gold, "label"), metrics.coco_average_recall(hits, n_gold, "label"), "label")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import vectors
 from brindle.operators import generate, metrics, retrieval
-from brindle.plans.durable import table
+from brindle.plans.durable import spread, table
 from brindle.plans.queries import retrieval as rq
 from brindle.plans.queries import spans as sq
 from brindle.plans.registry import query
@@ -121,7 +121,7 @@ def metric_delta(spark: SparkSession, d: str) -> DataFrame:
     SELECT pair_id, (p = g)::INT AS em, round(CASE WHEN coalesce(same, 0) > 0 THEN 2 * (same / len(pw)) * (same / len(gw)) / (same / len(pw) + same / len(gw)) ELSE 0 END, 6) AS f1 FROM w LEFT JOIN m USING (pair_id)""",
 )
 def text_em_f1(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.text_scores(table(spark, d, "raw_pairs", "pair_id", "anchor", "positive"), "pair_id", "anchor", "positive")
+    return metrics.text_scores(spread(table(spark, d, "raw_pairs", "pair_id", "anchor", "positive")), "pair_id", "anchor", "positive")
 
 
 @query(

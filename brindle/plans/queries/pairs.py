@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brindle.functions import jsonx
 from brindle.functions import text as tx
 from brindle.operators import pairs, rows
-from brindle.plans.durable import table
+from brindle.plans.durable import spread, table
 from brindle.plans.pipeline import pair_pipeline
 from brindle.plans.queries.text import CHUNKS
 from brindle.plans.registry import query
@@ -90,12 +90,12 @@ def _raw(spark: SparkSession, d: str, *more: str) -> DataFrame:
 
 @query("verbatim_run", f"WITH {RUNS} SELECT pair_id, run FROM runs")
 def verbatim_run(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.verbatim_runs(_raw(spark, d), "pair_id", "anchor", "positive")
+    return pairs.verbatim_runs(spread(_raw(spark, d)), "pair_id", "anchor", "positive")
 
 
 @query("pair_heuristics", f"WITH {RUNS} SELECT pair_id FROM kept")
 def pair_heuristics(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.heuristic_keep(_raw(spark, d), "pair_id", "anchor", "positive", pairs.PairConfig()).select("pair_id")
+    return pairs.heuristic_keep(spread(_raw(spark, d)), "anchor", "positive", pairs.PairConfig()).select("pair_id")
 
 
 @query(
@@ -171,7 +171,7 @@ def chunks_block(spark: SparkSession, d: str) -> DataFrame:
 
 @query("filter_pairs", f"WITH {RUNS} SELECT pair_id FROM uniq WHERE judge_score >= 4")
 def filter_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.filter_pairs(_raw(spark, d, "judge_score"), "pair_id", "anchor", "positive", pairs.PairConfig(), "judge_score").select("pair_id")
+    return pairs.filter_pairs(spread(_raw(spark, d, "judge_score")), "pair_id", "anchor", "positive", pairs.PairConfig(), "judge_score").select("pair_id")
 
 
 @query(

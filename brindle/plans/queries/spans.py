@@ -9,7 +9,7 @@ from brindle.functions import jsonx
 from brindle.functions import spans as sp
 from brindle.functions import text as tx
 from brindle.operators import chunking, spanops
-from brindle.plans.durable import table
+from brindle.plans.durable import spread, table
 from brindle.plans.registry import query
 
 LABELS = ["EMAIL", "PHONE", "PERSON", "STREET"]
@@ -85,22 +85,23 @@ def span_merge(spark: SparkSession, d: str) -> DataFrame:
 WORDS = r"""p AS (SELECT ann_id, text, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS w, regexp_split_to_array(text, '[\p{L}\p{N}_]+') AS g FROM annotated WHERE text IS NOT NULL),
   u AS (SELECT ann_id, unnest(range(len(w))) AS ix, unnest(w) AS tok, unnest(g[1:len(w)]) AS gap FROM p),
   t AS (SELECT ann_id, ix, tok, (sum(length(gap) + length(tok)) OVER (PARTITION BY ann_id ORDER BY ix) - length(tok))::INT AS a, (sum(length(gap) + length(tok)) OVER (PARTITION BY ann_id ORDER BY ix))::INT AS b FROM u)"""
-BIO = f"""{WORDS}, {ORDERED},
+#: Spans that no label names are left out before words meet them.
+LABELLED = f"o AS (SELECT ann_id, a, b, label, row_number() OVER (PARTITION BY ann_id ORDER BY a, b, label) AS i FROM ({GOOD}) WHERE label IS NOT NULL)"
+BIO = f"""{WORDS}, {LABELLED},
   h AS (SELECT t.ann_id, t.ix, t.a, t.b, min(o.i) AS i FROM t LEFT JOIN o ON o.ann_id = t.ann_id AND o.b > t.a AND o.a < t.b GROUP BY t.ann_id, t.ix, t.a, t.b),
   bio AS (SELECT h.ann_id, ix, h.a, h.b, CASE WHEN h.i IS NULL OR o.label IS NULL THEN 'O' WHEN lag(h.i) OVER (PARTITION BY h.ann_id ORDER BY ix) = h.i THEN 'I-' || o.label ELSE 'B-' || o.label END AS tag
           FROM h LEFT JOIN o ON o.ann_id = h.ann_id AND o.i = h.i)"""
 
 
-def _bio(spark: SparkSession, d: str) -> DataFrame:
-    df = _good(spark, d).withColumn("spans", sp.in_order(F.col("spans"))).withColumn("tokens", tx.tokens_with_offsets(F.col("text")))
-    tags = F.arrays_zip(F.col("tokens").alias("t"), sp.bio_tags(F.col("tokens"), F.col("spans")).alias("tag"))
-    each = df.select("ann_id", F.posexplode(tags).alias("ix", "z"))
-    return each.select("ann_id", F.col("ix").cast("bigint").alias("ix"), F.col("z.t.start").alias("start_pos"), F.col("z.t.end").alias("end_pos"), F.coalesce(F.col("z.tag"), F.lit("O")).alias("tag"))
+def _bio(spark: SparkSession, d: str, marked_only: bool = False) -> DataFrame:
+    df = spread(_good(spark, d)).withColumn("spans", sp.in_order(F.col("spans"))).withColumn("tokens", tx.tokens_with_offsets(F.col("text")))
+    rows = F.transform(F.arrays_zip(F.col("tokens").alias("t"), sp.bio_tags(F.col("tokens"), F.col("spans")).alias("tag")), lambda z, i: F.struct(i.cast("bigint").alias("ix"), z["t"]["start"].alias("start_pos"), z["t"]["end"].alias("end_pos"), z["tag"].alias("tag")))
+    return df.select("ann_id", F.explode(F.filter(rows, lambda r: r["tag"] != "O") if marked_only else rows).alias("r")).select("ann_id", "r.*")
 
 
 @query("bio_align", f"WITH {BIO} SELECT ann_id, ix, tag FROM bio WHERE tag <> 'O'")
 def bio_align(spark: SparkSession, d: str) -> DataFrame:
-    return _bio(spark, d).select("ann_id", "ix", "tag").filter("tag != 'O'")
+    return _bio(spark, d, marked_only=True).select("ann_id", "ix", "tag")
 
 
 @query(

@@ -185,14 +185,45 @@ def test_text_scores(spark):
 def test_greedy_pairs_against_a_loop(spark):
     rnd = random.Random(5)
     rows = [(g, p, q, round(rnd.random(), 1)) for g in range(40) for p in range(5) for q in range(5) if rnd.random() < 0.5]
-    got = {r.g: r.n for r in metrics.greedy_pairs(spark.createDataFrame(rows, "g int, pred int, gold int, score double"), ["g"]).collect()}
-    for g, n in got.items():
-        ps, gs = set(), set()
-        for _, p, q in sorted((-s, p, q) for gg, p, q, s in rows if gg == g):
-            if p not in ps and q not in gs:
-                ps.add(p)
-                gs.add(q)
-        assert n == len(ps)
+    got = metrics.greedy_matches(spark.createDataFrame(rows, "g int, pred int, gold int, score double"), ["g"]).collect()
+    for least in (0.0, 0.5, 0.8):  # the matches at a threshold are those of at least it
+        for g in range(40):
+            ps, gs = set(), set()
+            for _, p, q in sorted((-s, p, q) for gg, p, q, s in rows if gg == g and s >= least):
+                if p not in ps and q not in gs:
+                    ps.add(p)
+                    gs.add(q)
+            assert {r.pred for r in got if r.g == g and r.score >= least} == ps
+
+
+def test_matched_detections_against_a_loop(spark):
+    rnd = random.Random(6)
+    scores = {(g, p): round(rnd.random(), 1) for g in range(30) for p in range(6)}
+    rows = [(g, p, scores[g, p], q, round(rnd.random(), 2)) for g in range(30) for p in range(6) for q in range(4) if rnd.random() < 0.6]
+    levels = [0.3, 0.6]
+    got = {(r.g, r.pred, r.iou) for r in metrics.matched_detections(spark.createDataFrame(rows, "g int, pred int, det_score double, gold int, iou double"), ["g"], levels).collect()}
+    want = set()
+    for least in levels:
+        for g in range(30):
+            taken = set()
+            for p in sorted(range(6), key=lambda p: (-scores[g, p], p)):
+                free = [(-i, q) for gg, pp, _, q, i in rows if gg == g and pp == p and i >= least and q not in taken]
+                if free:
+                    taken.add(min(free)[1])
+                    want.add((g, p, least))
+    assert got == want
+
+
+def test_map_summary_of_one_label_and_of_none(spark):
+    gold = spark.createDataFrame([("cat", 2)], "label string, n_gold long")
+    det = spark.createDataFrame([(1, "cat", 0, 0.9), (1, "cat", 1, 0.8)], "image int, label string, pred int, det_score double")
+    cand = spark.createDataFrame([(1, "cat", 0, 0, 0.97), (1, "cat", 1, 1, 0.62)], "image int, label string, pred int, gold int, iou double")
+    hits = metrics.coco_hits(cand, det, "image", "label")
+    out = {r.metric: r.value for r in metrics.map_summary(metrics.coco_average_precision(hits, gold, "label"), metrics.coco_average_recall(hits, gold, "label"), "label").collect()}
+    assert out["map_50"] == 1.0 and out["map_75"] == pytest.approx(51 / 101, abs=1e-6) and out["map"] == out["map_cat"]
+    assert out["mar_1"] == 0.5 and out["mar_100"] == pytest.approx((3 * 1.0 + 7 * 0.5) / 10)
+    empty = metrics.map_summary(metrics.coco_average_precision(hits.limit(0), gold.limit(0), "label"), metrics.coco_average_recall(hits.limit(0), gold.limit(0), "label"), "label")
+    assert {r.value for r in empty.collect()} == {-1.0}
 
 
 def test_average_precision_against_a_loop(spark):
@@ -257,3 +288,31 @@ def test_vectors(spark):
     assert sum(value(spark, vectors.softmax(v))) == pytest.approx(1.0) and value(spark, vectors.argmax(v)) == 2
     assert value(spark, vectors.score_cap(F.lit(0.5), 0.4, 0.1)) == pytest.approx(0.3) and value(spark, vectors.score_cap(F.lit(0.5), None, 0.1)) == pytest.approx(0.4)
     assert value(spark, vectors.score_cap(F.lit(0.5))) is None
+
+
+def test_label_alignment(spark):
+    def run(spans, offsets, special=None, all_tokens=True, labels=None):
+        df = spark.createDataFrame([(offsets, spans, special)], "t array<struct<start int, end int>>, s array<struct<start int, end int, label string>>, x array<int>")
+        marks = sp.known_labels(F.col("s"), labels) if labels else F.col("s")
+        return df.select(sp.bio_tags(F.col("t"), marks, F.col("x"), all_tokens)).first()[0]
+
+    assert run([(5, 8, "NAME")], [(0, 4), (5, 7), (7, 8)], all_tokens=False) == ["O", "B-NAME", "-100"]
+    assert run([(0, 5, "NAME"), (5, 10, "CITY")], [(0, 5), (5, 10)]) == ["B-NAME", "B-CITY"]
+    assert run([(0, 4, "NAME")], [(0, 0), (0, 4), (0, 0)], [1, 0, 1]) == ["-100", "B-NAME", "-100"]
+    assert run([(0, 4, "OTHER")], [(0, 4)], labels=["NAME"]) == ["O"]
+    assert run([(5, 10, "CITY")], [(5, 5), (5, 10)]) == ["O", "B-CITY"]
+    assert run([(5, 10, "CITY")], [(4, 7), (7, 10)]) == ["B-CITY", "I-CITY"]  # a token that begins at the space before
+    assert run([(0, 9, "CITY")], [(0, 3), (0, 0), (3, 9)], [0, 1, 0]) == ["B-CITY", "-100", "B-CITY"]
+    assert run(None, [(0, 3)]) == ["O"] and run([(0, 3, None)], [(0, 3)]) == ["O"]
+    tags = F.array(*[F.lit(x) for x in ("O", "B-A", "-100", "B-Z")])
+    assert value(spark, sp.tag_ids(tags, ["O", "B-A", "I-A"])) == [0, 1, -100, None]
+
+
+def test_pair_score(spark):
+    obj = lambda box, point: F.struct(F.lit(box).cast("array<double>").alias("box") if box is None else F.array(*map(F.lit, box)).alias("box"), (F.lit(None).cast("array<double>") if point is None else F.array(*map(F.lit, point))).alias("point"))
+    box = [0.1, 0.1, 0.3, 0.3]
+    assert value(spark, geo.pair_score(obj(box, None), obj(box, None), "box")) == 1.0
+    assert value(spark, geo.pair_score(obj(None, [0.1, 0.3]), obj(box, None), "point")) == 1.0
+    assert value(spark, geo.pair_score(obj(None, [0.5, 0.3]), obj(box, None), "point")) == 0.0
+    assert value(spark, geo.pair_score(obj(None, [0.5, 0.5]), obj(None, [0.5, 0.525]), "point")) == pytest.approx(0.5)
+    assert value(spark, geo.pair_score(obj(box, None), obj(None, [0.5, 0.5]), "point")) is None
