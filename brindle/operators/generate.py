@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 STYLES = ("natural_question", "keyword_query", "paraphrased_statement")
 Batches = Iterator[pd.DataFrame]
@@ -25,6 +29,12 @@ class Scorer(Protocol):
     def __call__(self, query: Column, passage: Column) -> Column: ...
 
 
+class Encoder(Protocol):
+    """Text to a vector, as a Column."""
+
+    def __call__(self, text: Column) -> Column: ...
+
+
 class Generator(Protocol):
     """Batches of requests to batches of responses: what ``mapInPandas`` takes."""
 
@@ -40,6 +50,35 @@ def overlap_scorer(query: Column, passage: Column) -> Column:
     return F.when(n > 0, F.size(F.array_intersect(q, p)) / n).otherwise(F.lit(0.0))
 
 
+VECTOR_SIZE = 64
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _hashed(words: pa.Array) -> pa.Array:
+    known: dict[str, int] = {}
+    out = []
+    for tokens in words.to_pylist():
+        if tokens is None:
+            out.append(None)
+            continue
+        v = np.zeros(VECTOR_SIZE)
+        for w in tokens:
+            at = known.get(w)
+            if at is None:
+                at = known[w] = int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % VECTOR_SIZE
+            v[at] += 1
+        n = np.sqrt(v @ v)
+        out.append(v / n if n else v)
+    return pa.array(out, pa.list_(pa.float64()))
+
+
+def hashed_vector(text: Column) -> Column:
+    """Word counts in ``VECTOR_SIZE`` hashed places, to unit length: the default encoder."""
+    from brindle.functions.text import word_tokens
+
+    return _hashed(word_tokens(text))
+
+
 def generation_request(chunk_text: Column, styles: tuple[str, ...] = STYLES) -> Column:
     """The user message that asks for one query of each style."""
     return F.concat(F.lit("Write one query per style (" + ", ".join(styles) + ") for: "), chunk_text)
