@@ -1,15 +1,18 @@
 """Texts that stop before their end (problem 2).
 
-Two kinds of evidence meet.  For every source the discrete hazard of each
-length (texts of that length among those at least as long) is compared with the
-pooled hazard of its neighbouring lengths; a one-sided Poisson bound, controlled
-for false discoveries over all sources, units and lengths, names the lengths at
-which a source cuts.  And every text's ending is looked up among the endings of
-finished sentences of the whole table: a word that never ends one is unfinished
-wherever it stands, a word that may end one counts as cut only at a significant
-length, under a cut mark, or where the tokens paid for are far more than the
-text holds.  JSON is unfinished when a bracket stays open or when the last
-string value, whatever was closed behind it, ends in the middle.
+For every source the discrete hazard of each length (texts of that length among
+those at least as long) is compared with the pooled hazard of its neighbouring
+lengths; a one-sided Poisson bound, controlled for false discoveries over all
+sources, units and lengths, names the lengths at which a source cuts.  A text of
+such a length whose ending is incomplete, or at least not closed, was cut there
+(``length``).
+
+Not every cut is at a fixed length: a transfer may break anywhere.  Away from
+the significant lengths a text counts only where its ending proves the cut by
+itself, and each kind of proof is a reason of its own: an open JSON value
+(``json``), a word that never ends a sentence (``word``), a cut mark (``mark``),
+or far less text than the tokens paid for (``tokens``).  Which words end
+sentences is counted over all finished sentences of the table.
 """
 
 from __future__ import annotations
@@ -32,17 +35,19 @@ CLOSING = r"\*{1,3}|_{2}|</[a-z]{1,10}>|<br ?/?>|`{1,3}|~{3}"
 WIDTH = 120
 #: A word counts as known from so many uses, as a possible ending from so many and this share of its uses.
 MIN_WORD = 5
-MIN_ENDINGS = 3
+MIN_ENDINGS = 2
 LEAST_ENDING = 0.004
+#: Of words used less often nothing is said: one that ends a twentieth of its sentences may well not be seen to end any.
+RARE = 60
 #: A JSON key whose last values lack a closing mark this rarely always has one.
 MOST_WITHOUT = 0.05
 #: A text holds about four characters a token; below this many it lacks what was paid for.
 CHARS_A_TOKEN = 3.2
 MIN_TOKENS = 8
 ALPHA = 1e-3
-#: A possible ending counts as cut by its length or tokens only in a text of so many characters.
-LEAST_CUT = 20
 NEIGHBOURS = 10
+#: Bins of p values.
+BINS = 4096
 #: Token counts bunch in a narrow hump, so that only the next few are comparable.
 NEAR_TOKENS = 3
 UNITS = ("chars", "bytes", "tokens")
@@ -208,9 +213,12 @@ def cut_lengths(lengths: DataFrame, alpha: float = ALPHA, near: int = NEIGHBOURS
     h = h.withColumn("mean", mean)
     log_p = F.when(F.col("n") > F.col("mean"), F.col("n") - F.col("mean") - F.col("n") * F.log(F.col("n") / F.col("mean"))).otherwise(0.0)
     tests = h.withColumn("log_p", log_p)
-    few = tests.filter(F.col("log_p") < math.log(alpha)).withColumn("i", F.row_number().over(Window.orderBy("log_p", "source", "unit", "length")))
+    few = cut(tests.filter(F.col("log_p") < math.log(alpha)).withColumn("bin", F.least(F.floor(-F.col("log_p")), F.lit(BINS)).cast("int")))
     m = tests.agg(F.count("*").alias("m"))
-    passed = few.crossJoin(F.broadcast(m)).withColumn("ok", F.col("log_p") <= math.log(alpha) + F.log("i") - F.log("m"))
+    # ranks by p: the counts of the smaller bins, of which there are at most BINS, and the place within a bin
+    before = few.groupBy("bin").agg(F.count("*").alias("c")).withColumn("before", F.sum("c").over(Window.orderBy(F.desc("bin"))) - F.col("c")).select("bin", "before")
+    placed = few.join(F.broadcast(before), "bin").withColumn("i", F.col("before") + F.row_number().over(Window.partitionBy("bin").orderBy("log_p", "source", "unit", "length")))
+    passed = placed.crossJoin(F.broadcast(m)).withColumn("ok", F.col("log_p") <= math.log(alpha) + F.log("i") - F.log("m"))
     last = passed.filter("ok").agg(F.max("i").alias("last"))
     return passed.crossJoin(F.broadcast(last)).filter(F.col("i") <= F.col("last")).select("source", "unit", "length", "n", "at_risk", "log_p")
 
@@ -264,9 +272,10 @@ def truncated(
 ) -> DataFrame:
     """``(key, source, reason)``: one row for each text that stops before its end.
 
-    ``reason`` is open_json, word (an ending that no finished sentence has),
-    mark (a cut mark behind a possible ending), length (a possible ending at a
-    significant length) or tokens (at a third of the tokens' usual text).
+    ``reason`` is length (an incomplete or unclosed ending at a significant
+    length), or, at any other length, json (an open value), word (an ending that
+    no finished sentence has), mark (a cut mark behind a possible ending) or
+    tokens (far less text than the tokens usually stand for).
     Defined results: null and blank texts, bare fillers, single words and texts
     ending as their prompt does are no cases; a null source is a source of its
     own; a repeated row comes out as often; an empty table gives no rows.
@@ -276,28 +285,33 @@ def truncated(
     known = beginnings(words)
     limits = cut(cut_lengths(src))
     at = {u: limits.filter(F.col("unit") == u).select("source", F.col("length").alias(u), F.lit(True).alias(f"at_{u}")) for u in UNITS}
-    s = suspects(src).join(ends.select("word", F.col("n").alias("ends")), "word", "left")
+    s = suspects(src)
+    for c in ("name", "number", "json_key"):  # what is null meets nothing, and is dealt to all tasks
+        s = s.withColumn(c, F.coalesce(c, F.concat(F.lit("\0"), F.pmod(F.xxhash64("key"), F.lit(4096)).cast("string"))))
+    s = s.join(ends.select("word", F.col("n").alias("ends")), "word", "left")
     s = s.join(ends.select(F.col("word").alias("name"), F.lit(True).alias("name_ends")), "name", "left").join(known, "word", "left")
     s = s.join(ends.select(F.col("word").alias("number"), F.lit(True).alias("number_ends")), "number", "left")
     s = s.join(closing_keys(src), "json_key", "left")
     for u in UNITS:
-        s = s.join(F.broadcast(at[u]), ["source", u], "left")
+        s = s.join(at[u], ["source", u], "left")  # a row for each significant length
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    rare = F.col("total").isNull()
-    ends_here = (F.col("ends") >= F.greatest(F.lit(MIN_ENDINGS), F.coalesce("total", F.lit(0)) * LEAST_ENDING)) | yes("name_ends") | F.col("no_word") | (rare & F.col("name").isNull())
+    rare = F.coalesce(F.col("total") < RARE, F.lit(True))
+    nameless = F.col("name").startswith("\0")
+    ends_here = (F.col("ends") >= F.greatest(F.lit(MIN_ENDINGS), F.coalesce("total", F.lit(0)) * LEAST_ENDING)) | yes("name_ends") | F.col("no_word") | (rare & nameless)
     ends_here = F.coalesce(ends_here, F.lit(False)) & ~(yes("number_ends") & ~yes("name_ends"))
     missing = (F.col("tokens") >= MIN_TOKENS) & (F.col("chars") < F.col("tokens") * CHARS_A_TOKEN)
-    prose = ~F.col("is_json") & F.col("several") & ~F.col("filler")
-    cuttable = prose & ~F.col("asked") & (F.char_length("end") >= LEAST_CUT) & F.col("end").rlike(r"[\p{L}\d][\s\"'”’»]*\z")
-    reason = (
-        F.when(F.col("open"), "open_json")
+    prose = ~F.col("is_json") & F.col("several") & ~F.col("filler") & ~F.col("asked")
+    # two words without a closing mark are an answer ("Total: 9712"), at any length
+    unclosed = prose & F.col("end").rlike(r"\S\s+\S+\s+\S*[\p{L}\d][\s\"'”’»]*\z")
+    proof = (
+        F.when(F.col("open"), "json")
         .when(F.col("half"), "mark")
         .when(F.col("is_json"), F.when(F.col("inside_mark"), "mark").when(F.col("several") & (yes("closes") | (~rare & ~ends_here)), "word"))
         .when(F.col("marked") & F.col("end").rlike(r"\p{L}"), "mark")
-        .when(prose & ~F.col("asked") & (F.col("open_mark") | ~ends_here), "word")
-        .when(cuttable & (yes("at_chars") | yes("at_bytes") | yes("at_tokens")), "length")
-        .when(cuttable & missing, "tokens")
+        .when(prose & (F.col("open_mark") | ~ends_here), "word")
     )
+    limit = yes("at_chars") | yes("at_bytes") | yes("at_tokens")
+    reason = F.when((proof.isNotNull() | unclosed) & limit, "length").otherwise(F.coalesce(proof, F.when(unclosed & missing, "tokens")))
     return s.withColumn("reason", reason).filter("reason IS NOT NULL").select("key", "source", "reason")
 
 
