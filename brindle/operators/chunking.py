@@ -17,22 +17,27 @@ def chunk_documents(df: DataFrame, doc_id: str, text: str, size: int = SIZE, ove
 
     A window of ``size`` words begins every ``size - overlap`` words until the
     end is reached; one of fewer than ``least`` words is dropped unless it is
-    the first.  In-row: no shuffle.
+    the first.  Its text is the text itself from the window's first word to what
+    follows its last one up to the next white space, so case and punctuation
+    stay.  In-row: no shuffle.
     """
     key = F.col(doc_id).cast("string")
     checked = F.when(key.isNull(), F.raise_error(F.lit(f"{doc_id} must not be null"))).otherwise(key)
-    tokens = df.select(checked.alias("doc_id"), tx.word_tokens(F.col(text)).alias("_t"))
+    tokens = df.select(checked.alias("doc_id"), F.col(text).alias("_x"), tx.tokens_with_offsets(F.col(text)).alias("_t"))
     n = F.size("_t")
     k = F.explode(tx.window_starts(n, size, overlap, least)).alias("chunk_ix")
-    windows = tokens.filter(n > 0).select("doc_id", "_t", k)
+    windows = tokens.filter(n > 0).select("doc_id", "_x", "_t", k)
     start = F.col("chunk_ix") * (size - overlap)
+    end = F.least(start + size, n)
+    begin, last = F.element_at("_t", (start + 1).cast("int"))["start"], F.element_at("_t", end.cast("int"))["end"]
+    tail = F.regexp_extract(F.substring("_x", last + 1, F.lit(8)), r"^[^\s\p{L}\p{N}_]*", 0)
     return windows.select(
         "doc_id",
         "chunk_ix",
         F.concat_ws("::", "doc_id", F.col("chunk_ix").cast("string")).alias("chunk_id"),
-        F.array_join(F.slice("_t", start + 1, F.lit(size)), " ").alias("text"),
+        F.concat(F.substring("_x", begin + 1, last - begin), tail).alias("text"),
         start.alias("start_token"),
-        F.least(start + size, n).alias("end_token"),
+        end.alias("end_token"),
     )
 
 

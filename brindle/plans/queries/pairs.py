@@ -191,11 +191,11 @@ STUB = """list_filter(list_transform(range(1, len(t[1:{n}]) + 1), lambda i: CASE
 @query(
     "pair_pipeline",
     f"""WITH {CHUNKS},
-      c AS (SELECT doc_id, chunk_id, text, string_split(text, ' ') AS t FROM chunks),
+      c AS (SELECT doc_id, chunk_id, text, words AS t FROM chunks),
       raw AS (SELECT chunk_id || '::natural_question::0' AS row_id, array_to_string(t[1:8], ' ') AS anchor, text AS positive, doc_id FROM c
         UNION ALL SELECT chunk_id || '::keyword_query::1', array_to_string({STUB.format(n=24, m=3, r=0)}, ' '), text, doc_id FROM c
         UNION ALL SELECT chunk_id || '::paraphrased_statement::2', array_to_string({STUB.format(n=16, m=2, r=1)}, ' '), text, doc_id FROM c),
-      w AS (SELECT row_id, string_split(anchor, ' ') AS q, string_split(positive, ' ') AS p FROM raw WHERE anchor <> '' AND len(string_split(anchor, ' ')) BETWEEN 3 AND 30),
+      w AS (SELECT row_id, string_split(anchor, ' ') AS q, {TOK.format('positive')} AS p FROM raw WHERE anchor <> '' AND len(string_split(anchor, ' ')) BETWEEN 3 AND 30),
       qw AS (SELECT row_id, unnest(q) AS w, unnest(range(len(q))) AS qi FROM w),
       pw AS (SELECT row_id, unnest(p) AS w, unnest(range(len(p))) AS pi FROM w),
       h AS (SELECT qw.row_id, qi - pi AS diag, qi FROM qw JOIN pw ON qw.row_id = pw.row_id AND qw.w = pw.w),
@@ -207,7 +207,7 @@ STUB = """list_filter(list_transform(range(1, len(t[1:{n}]) + 1), lambda i: CASE
     FROM (SELECT *, ('0x' || substr(sha256('42::' || doc_id), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616::DOUBLE AS u FROM uniq)""",
 )
 def pair_pipeline_query(spark: SparkSession, d: str) -> DataFrame:
-    out = pair_pipeline(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+    out = pair_pipeline(spread(table(spark, d, "documents", "doc_id", "text")), "doc_id", "text")
     return out.select("row_id", "anchor", F.md5("positive").alias("positive_md5"), "split")
 
 

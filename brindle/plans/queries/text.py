@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import text as tx
 from brindle.operators import chunking
-from brindle.plans.durable import table
+from brindle.plans.durable import spread, table
 from brindle.plans.registry import query
 
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
@@ -36,16 +36,20 @@ def token_offsets(spark: SparkSession, d: str) -> DataFrame:
     return each.select("doc_id", F.col("ix").cast("bigint").alias("ix"), F.col("t.tok").alias("tok"), F.col("t.start").cast("bigint").alias("start_pos"), F.col("t.end").cast("bigint").alias("end_pos"))
 
 
-CHUNKS = f"""
-  t AS (SELECT doc_id::VARCHAR AS doc_id, {TOKENS} AS tok FROM documents WHERE text IS NOT NULL),
-  k AS (SELECT doc_id, tok, unnest(range(greatest(0, ceil((len(tok) - 256) / 224.0))::BIGINT + 1)) AS chunk_ix FROM t WHERE len(tok) > 0),
-  chunks AS (SELECT doc_id, chunk_ix, doc_id || '::' || chunk_ix AS chunk_id, array_to_string(tok[chunk_ix * 224 + 1 : chunk_ix * 224 + 256], ' ') AS text,
-             chunk_ix * 224 AS start_token, least(chunk_ix * 224 + 256, len(tok)) AS end_token FROM k WHERE chunk_ix = 0 OR least(256, len(tok) - chunk_ix * 224) >= 64)"""
+CHUNKS = r"""
+  t AS (SELECT doc_id::VARCHAR AS doc_id, text AS x, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS tok, regexp_split_to_array(text, '[\p{L}\p{N}_]+') AS gap FROM documents WHERE text IS NOT NULL),
+  placed AS (SELECT doc_id, ix, sum(length(g) + length(o)) OVER (PARTITION BY doc_id ORDER BY ix) AS b, sum(length(g) + length(o)) OVER (PARTITION BY doc_id ORDER BY ix) - length(o) AS a
+        FROM (SELECT doc_id, unnest(range(len(tok))) AS ix, unnest(tok) AS o, unnest(gap[1:len(tok)]) AS g FROM t)),
+  k AS (SELECT doc_id, x, tok, unnest(range(greatest(0, ceil((len(tok) - 256) / 224.0))::BIGINT + 1)) AS chunk_ix FROM t WHERE len(tok) > 0),
+  chunks AS (SELECT k.doc_id, chunk_ix, k.doc_id || '::' || chunk_ix AS chunk_id, substr(x, f.a::INT + 1, (l.b - f.a)::INT) || regexp_extract(substr(x, l.b::INT + 1, 8), '^[^\s\p{L}\p{N}_]*') AS text,
+             chunk_ix * 224 AS start_token, least(chunk_ix * 224 + 256, len(tok)) AS end_token, list_transform(tok[chunk_ix * 224 + 1 : chunk_ix * 224 + 256], lambda v: lower(v)) AS words
+             FROM k JOIN placed f ON f.doc_id = k.doc_id AND f.ix = chunk_ix * 224 JOIN placed l ON l.doc_id = k.doc_id AND l.ix = least(chunk_ix * 224 + 256, len(tok)) - 1
+             WHERE chunk_ix = 0 OR least(256, len(tok) - chunk_ix * 224) >= 64)"""
 
 
 @query("chunk_docs", f"WITH {CHUNKS} SELECT chunk_id, md5(text) AS text_md5, start_token, end_token FROM chunks")
 def chunk_docs(spark: SparkSession, d: str) -> DataFrame:
-    c = chunking.chunk_documents(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+    c = chunking.chunk_documents(spread(table(spark, d, "documents", "doc_id", "text")), "doc_id", "text")
     return c.select("chunk_id", F.md5("text").alias("text_md5"), F.col("start_token").cast("bigint").alias("start_token"), F.col("end_token").cast("bigint").alias("end_token"))
 
 
