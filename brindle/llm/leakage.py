@@ -116,6 +116,14 @@ def prepare(rows: list[tuple[int, str]]) -> Items:
     return out
 
 
+def block_of(whole: Items, first: int, last: int) -> Items:
+    """Items ``first`` to ``last - 1`` of a window table; what is a word and what is rare stays as in the whole."""
+    own = (whole.item >= first) & (whole.item < last)
+    out = Items(whole.ids[first:last], whole.words[first:last], whole.vocabulary)
+    out.keys, out.item, out.place, out.rare = whole.keys[own], whole.item[own] - first, whole.place[own], whole.rare[own]
+    return out
+
+
 def chain(places: np.ndarray, spots: np.ndarray) -> list[tuple[int, int, int]]:
     """Runs ``(item place, document place, windows)`` of shared windows, chained in both orders.
 
@@ -193,24 +201,27 @@ def leaked_items(tokens: list[str], items: Items, least: float = LEAST) -> list[
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """``(doc_id, item_id)``: documents that hold at least ``least`` of an item's words in order.
 
-    The items are the stated query set: they are read to the driver and probed
-    in blocks of at most ``BLOCK_WINDOWS`` windows, each block against all
-    documents.  Defined results: null, empty and short texts hold nothing and
-    are held nowhere; repeated rows give one row; an empty side gives no rows.
+    The items are the stated query set: they are read to the driver, made
+    templates over one vocabulary, and probed in blocks of at most
+    ``BLOCK_WINDOWS`` windows, each block against all documents; the blocks do
+    not change the result.  Defined results: null, empty and short texts (fewer
+    than ``WINDOW`` words) hold nothing and are held nowhere; repeated rows give
+    one row; an empty side gives no rows.
     """
     spark = docs.sparkSession
     rows = [(r[0], r[1]) for r in items.select(item_id, text).filter(F.col(text).isNotNull() & F.col(item_id).isNotNull()).distinct().toLocalIterator()]
-    blocks, size = [[]], 0
-    for r in sorted(rows):
-        size += len(r[1]) // 3
-        if size > BLOCK_WINDOWS and blocks[-1]:
-            blocks.append([])
-            size = len(r[1]) // 3
-        blocks[-1].append(r)
+    whole = prepare(sorted(rows))
+    bounds, size = [0], 0
+    for k, n in enumerate(np.bincount(whole.item, minlength=len(whole.ids)).tolist()):
+        if size and size + n > BLOCK_WINDOWS:
+            bounds.append(k)
+            size = 0
+        size += n
+    blocks = [block_of(whole, a, b) for a, b in zip(bounds, [*bounds[1:], len(whole.ids)])]
     doc_type, item_type = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     out = None
     for block in blocks:
-        shared = spark.sparkContext.broadcast(prepare(block))
+        shared = spark.sparkContext.broadcast(block)
 
         def probe(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:

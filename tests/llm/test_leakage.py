@@ -45,6 +45,10 @@ def test_blocks_give_the_same(spark, monkeypatch):
     items = [(i, " ".join(make(rnd, [f"v{chr(97 + k)}" for k in range(26)], 60))) for i in range(30)]
     df = spark.createDataFrame([(i, t) for i, t in items], "doc_id bigint, text string")
     ev = spark.createDataFrame(items, "item_id bigint, text string")
+    half = [(100 + i, " ".join(t.split()[:30])) for i, t in items]
+    df = df.unionAll(spark.createDataFrame(half, df.schema))
     whole = {tuple(r) for r in leakage.find_leaks(df, ev).collect()}
-    monkeypatch.setattr(leakage, "BLOCK_WINDOWS", 600)
-    assert whole >= {(i, i) for i in range(30)} and {tuple(r) for r in leakage.find_leaks(df, ev).collect()} >= {(i, i) for i in range(30)}
+    assert whole >= {(i, i) for i in range(30)}
+    for size in (600, 100, 1):
+        monkeypatch.setattr(leakage, "BLOCK_WINDOWS", size)
+        assert {tuple(r) for r in leakage.find_leaks(df, ev).collect()} == whole
