@@ -152,9 +152,9 @@ def grounding_f1(spark: SparkSession, d: str) -> DataFrame:
     return _grounding(spark, d, []).select("iou", "tp", "fp", "fn", "f1")
 
 
-@query("f1_iou_avg", f"WITH RECURSIVE {MATCHED} SELECT round(avg(f1), 6) AS f1_iou_avg FROM (SELECT {F1} AS f1 FROM f)")
+@query("f1_iou_avg", f"WITH RECURSIVE {MATCHED} SELECT round(avg(f1), 7) AS f1_iou_avg FROM (SELECT {F1} AS f1 FROM f)")
 def f1_iou_avg(spark: SparkSession, d: str) -> DataFrame:
-    return _grounding(spark, d, []).agg(F.round(F.avg("f1"), 6).alias("f1_iou_avg"))
+    return _grounding(spark, d, []).agg(F.round(F.avg("f1"), 7).alias("f1_iou_avg"))
 
 
 @query(
