@@ -4,8 +4,8 @@
 pass; ``truncated`` comes from the length hazards and endings of problem 2.
 
 ``refusal`` needs the whole table, and no list of wordings.  The openings of all
-answers are clustered: nearly equal ones by MinHash, whose links are verified on
-five-word shingles and closed to components.  A cluster that recurs under
+answers are clustered: nearly equal ones, found by a prefix filter over their
+five-word shingles, are linked and the links closed to components.  A cluster that recurs under
 unrelated prompts and within different answers is a template, and so is a later
 piece of such an answer that recurs likewise.  What recurs by chance, because it
 is made of common parts, is told by its parts: the words a template begins and
@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
@@ -62,7 +62,6 @@ RARE_WORD, FEW_PROMPTS = 0.0005, 8
 MOST_SENT = 200_000
 SIMILAR = 0.8
 SHINGLE = 5
-HASHES = 4
 VOCABULARY = 50_000
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -220,44 +219,53 @@ def read_off(pairs: DataFrame, model: dict[str, list[float]]) -> DataFrame:
     return pairs.select("tbl", "key", "question", "answer").mapInArrow(check, schema)
 
 
-def minhashes(unit: Column) -> Column:
-    """``HASHES`` minima over the hashes of a unit's word shingles; a short unit is one shingle."""
+def shingles(unit: Column) -> Column:
+    """The distinct hashes of a unit's word shingles; a short unit is one shingle."""
     words = F.split(unit, " ")
-    shingles = F.when(F.size(words) <= SHINGLE, F.array(unit)).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(words) - SHINGLE + 1), lambda i: F.array_join(F.slice(words, i, SHINGLE), " "))
+    return F.when(F.size(words) <= SHINGLE, F.array(F.xxhash64(unit))).otherwise(
+        F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - SHINGLE + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, SHINGLE), " "))))
     )
 
-    def hashed(i: int) -> Callable[[Column], Column]:
-        return lambda s: F.xxhash64(s, F.lit(i))  # one parameter: a second one would be the shingle's place
 
-    return F.array(*[F.array_min(F.transform(shingles, hashed(i))) for i in range(HASHES)])
+def similar_pairs(units: DataFrame) -> DataFrame:
+    """``(a, b)`` of ``(u, s)``, ids and their shingles, whose sets have a Jaccard similarity of ``SIMILAR`` or more: all of them.
 
-
-def _shingle_set(unit: Column) -> Column:
-    words = F.split(unit, " ")
-    return F.when(F.size(words) <= SHINGLE, F.array(unit)).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - SHINGLE + 1), lambda i: F.array_join(F.slice(words, i, SHINGLE), " ")))
-    )
-
-
-def opening_clusters(read: DataFrame) -> DataFrame:
+    Prefix filter: with all shingles in one order, the rarest first, two sets so
+    alike share one of their first ``m - ceil(SIMILAR m) + 1``.  What meets there
+    is of like length, has room for the overlap behind the places that meet, and
+    is verified in full.
+    """
+    each = units.select("u", F.size("s").alias("m"), F.explode("s").alias("h"))
+    counts = each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    # a shingle that one unit alone has meets nothing: it takes its place in the order (first of all) and no row
+    shared = each.join(counts, "h").groupBy("u", "m").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("o"))
+    own = F.col("m") - F.size("o")
+    prefix = F.col("m") - F.ceil(F.lit(SIMILAR) * F.col("m") - 1e-9).cast("int") + 1 - own
+    first = cut(shared.filter(prefix > 0).select("u", "m", own.alias("own"), F.posexplode(F.slice(F.col("o.h"), 1, prefix)).alias("i", "h")))
+    left = first.select("h", F.col("u").alias("a"), F.col("m").alias("ma"), (F.col("own") + F.col("i")).alias("ia"))
+    right = first.select("h", F.col("u").alias("b"), F.col("m").alias("mb"), (F.col("own") + F.col("i")).alias("ib"))
+    need = F.lit(SIMILAR / (1 + SIMILAR)) * (F.col("ma") + F.col("mb")) - 1e-9
+    # at the first place where two meet, nothing before it is common
+    met = left.join(right, "h").filter("a < b").groupBy("a", "b", "ma", "mb").agg(F.min("ia").alias("ia"), F.min("ib").alias("ib"))
+    met = met.filter((F.least(F.col("ma") - F.col("ia"), F.col("mb") - F.col("ib")) >= need) & (F.least("ma", "mb") >= SIMILAR * F.greatest("ma", "mb") - 1e-9))
+    both = met.select("a", "b").join(units.select(F.col("u").alias("a"), F.col("s").alias("sa")), "a").join(units.select(F.col("u").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(common >= F.lit(SIMILAR) * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b")
+
+
+def opening_clusters(read: DataFrame, answers: int = 2) -> DataFrame:
     """``(opening, cluster)`` of the openings that are nearly equal to another one; the rest are clusters of their own.
 
-    Equal openings are one row before any meets another, and one that opens a
-    single answer is no part of a template.  Within a MinHash bucket all of like
-    length are compared, a Jaccard similarity of ``SIMILAR`` or more links two,
-    and the clusters are the connected components.
+    Equal openings are one row before any meets another; compared are those that
+    open so many different answers at least.  A Jaccard similarity of ``SIMILAR``
+    or more links two, none left out, and the clusters are the connected
+    components.
     """
-    again = read.groupBy("opening", "answer").agg(F.first(F.lit(1))).groupBy("opening").agg(F.count("*").alias("n")).filter("n > 1")
-    long = again.select("opening").filter(F.size(F.split("opening", " ")) > SHINGLE)
-    signed = long.select("opening", F.size(_shingle_set(F.col("opening"))).alias("m"), F.posexplode(minhashes(F.col("opening"))).alias("band", "h"))
-    others = signed.select("band", "h", F.col("opening").alias("other"), F.col("m").alias("mo"))
-    like_long = F.least("m", "mo") >= SIMILAR * F.greatest("m", "mo")
-    met = signed.join(others, ["band", "h"]).filter((F.col("opening") < F.col("other")) & like_long).select("opening", "other").distinct()
-    a, b = _shingle_set(F.col("opening")), _shingle_set(F.col("other"))
-    verified = met.filter(F.size(F.array_intersect(a, b)) >= SIMILAR * F.size(F.array_union(a, b)))
-    _, roots = spanning_forest(verified.select(F.col("opening").alias("a"), F.col("other").alias("b"), F.lit(1).alias("w")))
-    return roots.select(F.col("node").alias("opening"), F.xxhash64("root").alias("cluster"))
+    met = read.groupBy("opening", "answer").agg(F.first(F.lit(1))).groupBy("opening").agg(F.count("*").alias("n")).filter(F.col("n") >= answers) if answers > 1 else read.select("opening").distinct()
+    long = met.select("opening").filter(F.size(F.split("opening", " ")) > SHINGLE)
+    units = cut(long.select(F.xxhash64("opening").alias("u"), shingles(F.col("opening")).alias("s"), "opening"))
+    _, roots = spanning_forest(similar_pairs(units.select("u", "s")).withColumn("w", F.lit(1)))
+    return roots.join(units, F.col("node") == F.col("u")).select("opening", F.col("root").alias("cluster"))
 
 
 def often_met(said: DataFrame, piece: str) -> DataFrame:
@@ -299,7 +307,7 @@ def refusals(read: DataFrame) -> DataFrame:
     answers with an opening met often go on with their pieces.
     """
     opened = read.filter("opening IS NOT NULL").withColumn("opened", F.xxhash64("opening"))
-    names = cut(opening_clusters(opened).select(F.xxhash64("opening").alias("opened"), "cluster"))
+    names = cut(opening_clusters(opened, answers=1).select(F.xxhash64("opening").alias("opened"), "cluster"))
     cluster = lambda df: df.join(small(names), "opened", "left").withColumn("cluster", F.coalesce("cluster", "opened"))
     often = cut(often_met(cluster(opened.select("opened", "prompt", "answer")), "cluster"))
     known = cut(cluster(opened.drop("opening", "defect")).join(small(often).select("cluster"), "cluster"))

@@ -66,3 +66,21 @@ def test_pieces_recur_only_under_unrelated_prompts(spark):
     rows += [("copied", 20 + i, [200 + i, 1], 7) for i in range(4)]  # one answer alone
     df = spark.createDataFrame(rows, "u string, prompt bigint, asked array<bigint>, answer bigint")
     assert [r.u for r in pairs.recurring(df, "u").collect()] == ["template"]
+
+
+def test_every_pair_of_openings_at_the_threshold_is_linked(spark):
+    words = lambda i, n: " ".join(f"w{i}n{j}" for j in range(n))
+    alike = [(words(i, 8), words(i, 9)) for i in range(3000)]  # 4 of 5 shingles: four minima miss one of 600
+    unlike = [(words(i, 7), words(i, 9)) for i in range(3000, 3050)]  # 3 of 5
+    rows = [(u, k) for pair in alike + unlike for u in pair for k in range(2)]
+    got = pairs.opening_clusters(spark.createDataFrame(rows, "opening string, answer bigint")).collect()
+    assert {r.opening for r in got} == {u for pair in alike for u in pair}
+    assert len({r.cluster for r in got}) == 3000
+
+
+def test_an_opening_of_one_answer_links_others(spark):
+    words = [f"w{i}" for i in range(60)]
+    chain = [" ".join(words[3 * i : 3 * i + 40]) for i in range(3)]  # the middle one opens a single answer
+    df = spark.createDataFrame([(chain[0], 0), (chain[0], 1), (chain[1], 2), (chain[2], 3), (chain[2], 4)], "opening string, answer bigint")
+    got = pairs.opening_clusters(df, answers=1).collect()
+    assert {r.opening for r in got} == set(chain) and len({r.cluster for r in got}) == 1
