@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm import truncation
@@ -227,30 +227,53 @@ def shingles(unit: Column) -> Column:
     )
 
 
-def similar_pairs(units: DataFrame) -> DataFrame:
-    """``(a, b)`` of ``(u, s)``, ids and their shingles, whose sets have a Jaccard similarity of ``SIMILAR`` or more: all of them.
+def alike_sets(units: DataFrame) -> DataFrame:
+    """``(u, c, k, m, h)`` of ``(u, s)``, ids and their shingles: those that may be similar to another one, by classes.
 
-    Prefix filter: with all shingles in one order, the rarest first, two sets so
-    alike share one of their first ``m - ceil(SIMILAR m) + 1``.  What meets there
-    is of like length, has room for the overlap behind the places that meet, and
-    is verified in full.
+    ``h`` are the shingles that several units have, the rarest first, ``m`` counts
+    all.  Units with equal ``h`` and ``m`` have the same similarity to any unit
+    and to each other, as what a unit has alone is common to no two: they are one
+    class, named after its least unit ``c``, of ``k`` units, and meet others once.
     """
     each = units.select("u", F.size("s").alias("m"), F.explode("s").alias("h"))
     counts = each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    # a shingle that one unit alone has meets nothing: it takes its place in the order (first of all) and no row
     shared = each.join(counts, "h").groupBy("u", "m").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("o"))
-    own = F.col("m") - F.size("o")
-    prefix = F.col("m") - F.ceil(F.lit(SIMILAR) * F.col("m") - 1e-9).cast("int") + 1 - own
-    first = cut(shared.filter(prefix > 0).select("u", "m", own.alias("own"), F.posexplode(F.slice(F.col("o.h"), 1, prefix)).alias("i", "h")))
-    left = first.select("h", F.col("u").alias("a"), F.col("m").alias("ma"), (F.col("own") + F.col("i")).alias("ia"))
-    right = first.select("h", F.col("u").alias("b"), F.col("m").alias("mb"), (F.col("own") + F.col("i")).alias("ib"))
-    need = F.lit(SIMILAR / (1 + SIMILAR)) * (F.col("ma") + F.col("mb")) - 1e-9
-    # at the first place where two meet, nothing before it is common
-    met = left.join(right, "h").filter("a < b").groupBy("a", "b", "ma", "mb").agg(F.min("ia").alias("ia"), F.min("ib").alias("ib"))
-    met = met.filter((F.least(F.col("ma") - F.col("ia"), F.col("mb") - F.col("ib")) >= need) & (F.least("ma", "mb") >= SIMILAR * F.greatest("ma", "mb") - 1e-9))
-    both = met.select("a", "b").join(units.select(F.col("u").alias("a"), F.col("s").alias("sa")), "a").join(units.select(F.col("u").alias("b"), F.col("s").alias("sb")), "b")
+    enough = shared.filter(F.size("o") >= F.lit(SIMILAR) * F.col("m") - 1e-9).select("u", "m", F.col("o.h").alias("h"))
+    like = Window.partitionBy("m", "h")
+    return cut(enough.select("u", F.min("u").over(like).alias("c"), F.count("*").over(like).alias("k"), "m", "h"))
+
+
+def band(m: Column) -> Column:
+    """The least of the sizes that count as one with ``m``: itself below 32, else those with the same five leading bits."""
+    step = F.call_function("shiftleft", F.lit(1), F.greatest(F.length(F.bin(m)) - 5, F.lit(0)))
+    return m - m % step
+
+
+def similar_pairs(sets: DataFrame) -> DataFrame:
+    """``(a, b)`` of ``(c, m, h)``, ids, sizes and ordered shingles, that have a Jaccard similarity of ``SIMILAR`` or more: all of them.
+
+    Prefix filter: two sets of sizes ``ma`` and ``mb`` so alike have
+    ``SIMILAR / (1 + SIMILAR)`` of ``ma + mb`` in common, so the first place where
+    they meet leaves room for that many behind it.  A set stands under its first
+    shingles once for each band of sizes that its partner may have, as far as such
+    a partner leaves room: a shingle that many have seldom stands so far in front.
+    What meets is verified in full.
+    """
+    share = F.lit(SIMILAR / (1 + SIMILAR))
+    least = F.ceil(F.lit(SIMILAR) * F.col("m") - 1e-9).cast("int")
+    most = F.floor(F.col("m") / F.lit(SIMILAR) + 1e-9).cast("int")
+    # what a set has alone stands before all others in the order and meets nothing
+    own = F.col("m") - F.size("h")
+    partners = sets.select("c", "m", "h", own.alias("own"), least.alias("least"), F.explode(F.array_distinct(F.transform(F.sequence(least, most), band))).alias("to"))
+    room = F.col("m") - F.ceil(share * (F.col("m") + F.greatest("to", "least")) - 1e-9).cast("int") + 1 - F.col("own")
+    first = cut(partners.filter(room > 0).select("c", "m", "own", "to", F.posexplode(F.slice("h", F.lit(1), room)).alias("i", "h")))
+    side = lambda x, mine, other: first.select("h", F.col("c").alias(x), F.col("m").alias(f"m{x}"), (F.col("own") + F.col("i")).alias(f"i{x}"), band(F.col("m")).alias(mine), F.col("to").alias(other))
+    a_left, b_left = F.col("ma") - F.col("ia"), F.col("mb") - F.col("ib")
+    fits = (F.least(a_left, b_left) >= share * (F.col("ma") + F.col("mb")) - 1e-9) & (F.least("ma", "mb") >= F.lit(SIMILAR) * F.greatest("ma", "mb") - 1e-9)
+    met = side("a", "p", "q").join(side("b", "q", "p"), ["h", "p", "q"]).filter((F.col("a") < F.col("b")) & fits).select("a", "b", "ma", "mb").distinct()
+    whole = lambda x: sets.select(F.col("c").alias(x), F.col("h").alias(f"s{x}"))
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(common >= F.lit(SIMILAR) * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b")
+    return met.join(whole("a"), "a").join(whole("b"), "b").filter(common >= F.lit(SIMILAR) * (F.col("ma") + F.col("mb") - common) - 1e-9).select("a", "b")
 
 
 def opening_clusters(read: DataFrame, answers: int = 2) -> DataFrame:
@@ -264,8 +287,12 @@ def opening_clusters(read: DataFrame, answers: int = 2) -> DataFrame:
     met = read.groupBy("opening", "answer").agg(F.first(F.lit(1))).groupBy("opening").agg(F.count("*").alias("n")).filter(F.col("n") >= answers) if answers > 1 else read.select("opening").distinct()
     long = met.select("opening").filter(F.size(F.split("opening", " ")) > SHINGLE)
     units = cut(long.select(F.xxhash64("opening").alias("u"), shingles(F.col("opening")).alias("s"), "opening"))
-    _, roots = spanning_forest(similar_pairs(units.select("u", "s")).withColumn("w", F.lit(1)))
-    return roots.join(units, F.col("node") == F.col("u")).select("opening", F.col("root").alias("cluster"))
+    sets = alike_sets(units)
+    _, roots = spanning_forest(similar_pairs(sets.filter("u = c")).withColumn("w", F.lit(1)))
+    # a class linked to another one is one component with it; else its units are linked among themselves, or none is
+    inside = (F.col("k") > 1) & (F.size("h") >= F.lit(SIMILAR) * (2 * F.col("m") - F.size("h")) - 1e-9)
+    found = sets.join(roots, F.col("c") == F.col("node"), "left").select("u", F.coalesce("root", F.when(inside, F.col("c"))).alias("cluster")).filter("cluster IS NOT NULL")
+    return found.join(units, "u").select("opening", "cluster")
 
 
 def often_met(said: DataFrame, piece: str) -> DataFrame:

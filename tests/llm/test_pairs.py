@@ -1,3 +1,6 @@
+import random
+import time
+
 from brindle.llm import pairs
 
 SCHEMA = "tbl string, key bigint, question string, answer string, tokens int, source string, defect string"
@@ -84,3 +87,33 @@ def test_an_opening_of_one_answer_links_others(spark):
     df = spark.createDataFrame([(chain[0], 0), (chain[0], 1), (chain[1], 2), (chain[2], 3), (chain[2], 4)], "opening string, answer bigint")
     got = pairs.opening_clusters(df, answers=1).collect()
     assert {r.opening for r in got} == set(chain) and len({r.cluster for r in got}) == 1
+
+
+def test_many_openings_of_one_template_do_not_meet_pair_by_pair(spark):
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:05d}")
+    rows = [(f"we have tested the model on lines of {name(i)}", i) for i in range(30_000)]  # 4 of 5 shingles are of all, no two alike
+    rows += [(f"but {u}", i) for u, i in rows[:100]]  # 5 of 6 shingles
+    df = spark.createDataFrame(rows, "opening string, answer bigint")
+    began = time.monotonic()
+    got = pairs.opening_clusters(df, answers=1).collect()
+    assert time.monotonic() - began < 60  # 450 million pairs of one shingle take far longer
+    assert {r.opening for r in got} == {u for u, _ in rows[:100] + rows[30_000:]} and len({r.cluster for r in got}) == 100
+
+
+def test_similar_pairs_are_those_of_all_pairs(spark):
+    dice = random.Random(5)
+    sets = []
+    for i in range(60):
+        base = [1000 * i + j for j in range(dice.choice((1, 2, 4, 5, 9, 31, 40, 50, 80)))]
+        for _ in range(6):
+            kept = [x for x in base if dice.random() > 0.08] + [dice.randrange(20) for _ in range(dice.randrange(3))]
+            sets.append(sorted({*kept, 10**6} if dice.random() < 0.5 else {*kept, 0}))
+    sets.append(sets[0])
+    want = {(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets) if a < b and 5 * len({*x} & {*y}) >= 4 * len({*x} | {*y})}
+    found = pairs.alike_sets(spark.createDataFrame(list(enumerate(sets)), "u bigint, s array<bigint>"))
+    of = {}
+    for r in found.collect():
+        of.setdefault(r.c, set()).add(r.u)
+    got = {(min(a, b), max(a, b)) for r in pairs.similar_pairs(found.filter("u = c")).collect() for a in of[r.a] for b in of[r.b]}
+    same = {(a, b) for c in of.values() for a in c for b in c if a < b}
+    assert got <= want and want - got == same & want and len(got) > 100
