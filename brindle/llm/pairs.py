@@ -20,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -66,8 +67,9 @@ VOCABULARY = 50_000
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Words that begin a clause giving a reason, with or without a comma before them.
-_REASON = "because|weil|denn|parce|car|porque"
-_PUNCTUATION = re.compile(rf"[.,;:!?()\[\]\"“”«»\n–—]+|\s-\s|\b(?=(?:{_REASON})\b)")
+_REASONS = {w: re.compile(rf"{w}(?<!\w{w})(?!\w)") for w in ("because", "weil", "denn", "parce", "car", "porque")}
+_PUNCTUATION = ".,;:!?()[]\"“”«»–—"
+_LONE_HYPHEN = re.compile(r"-(?<=\s-)(?=\s)")
 _MARKUP = re.compile(r"<[^<>]{0,40}>|[\s​‌‍⁠﻿\-–—*_\"'`.,:;!?…{}\[\]()<>|/\\#~=+]+")
 _ALNUM = re.compile(r"[^\W_]")
 _DRESS = re.compile(r"^\s*(?:[>#*\"“„«']+\s*)*(?:(?:q|question|frage|pregunta|query|prompt)\s*[:.]\s*)?", re.I)
@@ -99,14 +101,19 @@ def is_copy(question: str | None, answer: str | None) -> bool:
 
 
 _SEEDS: dict[str, str] = {w: k for k, v in FUNCTION_WORDS.items() for w in v.split() if sum(w in x.split() for x in FUNCTION_WORDS.values()) == 1}
-_SPACED = re.compile(r"[\s.,;:!?\"()'’]+")
+
+
+def _spaced(text: str) -> list[str]:
+    """The lower-case words between blanks and the commonest marks (``str.replace`` beats a pattern here)."""
+    text = text.lower()
+    for c in ".,;:!?\"()'’":
+        text = text.replace(c, " ")
+    return text.split()
 
 
 def seed_language(words: list[str], least: int = 4) -> str | None:
     """The language whose function words clearly lead, or none."""
-    counts = Counter(map(_SEEDS.get, words))
-    counts.pop(None, None)
-    top = counts.most_common(2)
+    top = Counter(filter(None, map(_SEEDS.get, words))).most_common(2)
     return top[0][0] if top and top[0][1] >= least and (len(top) == 1 or top[0][1] >= 2 * top[1][1]) else None
 
 
@@ -157,8 +164,8 @@ def language(text: str, model: dict[str, list[float]], margin: float) -> str | N
 
 def other_language(question: str, answer: str, model: dict[str, list[float]]) -> bool:
     """Whether the answer, quotations aside, is in another language than asked for."""
-    said = seed_language(_SPACED.split(answer.lower()))
-    asked = [k for k, p in _ASKED.items() if p.search(question)] if "(" in question or said is None or said != seed_language(_SPACED.split(question.lower()), 3) else [said]
+    said = seed_language(_spaced(answer))
+    asked = [k for k, p in _ASKED.items() if p.search(question)] if "(" in question or said is None or said != seed_language(_spaced(question), 3) else [said]
     if asked and asked[-1] == said and '"' not in answer:
         return False
     if said is None or _QUOTED.search(answer):
@@ -170,16 +177,25 @@ def other_language(question: str, answer: str, model: dict[str, list[float]]) ->
 
 
 def units(answer: str) -> list[str]:
-    """The normalised pieces of an answer between punctuation marks, empty ones left out."""
-    parts = (" ".join(_LETTERS.findall(p)) for p in _PUNCTUATION.split(answer.lower().replace("'", " ").replace("’", " ")))
-    return [p for p in parts if p]
+    """The normalised pieces of an answer between punctuation marks, lone hyphens and words that begin a reason; empty ones left out."""
+    text = answer.lower().replace("'", " ").replace("’", " ")
+    for c in _PUNCTUATION:
+        text = text.replace(c, "\n")
+    if "-" in text:
+        text = _LONE_HYPHEN.sub("\n", text)
+    for w, alone in _REASONS.items():
+        if w in text:
+            text = alone.sub(f"\n{w}", text)
+    parts = (p.split() for p in text.split("\n"))
+    return [u for w in parts if w and (u := " ".join(w if "".join(w).isalpha() else _LETTERS.findall(" ".join(w))))]
 
 
-def _hash(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+def _hashes(texts: list[str]) -> np.ndarray:
+    return (np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(texts)) ^ np.uint64(1 << 63)).view(np.int64)
 
 
-_PIECE = pa.struct([("u", pa.int64()), ("words", pa.int32()), ("head", pa.int64()), ("tail", pa.int64())])
+def _lists(values: pa.Array, sizes: list[int]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), pa.int32()), values)
 
 
 def read_off(pairs: DataFrame, model: dict[str, list[float]]) -> DataFrame:
@@ -193,7 +209,8 @@ def read_off(pairs: DataFrame, model: dict[str, list[float]]) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, defects, prompts, asked, answers, openings, pieces = [], [], [], [], [], [], []
+            at, defects, prompts, asked, answers, openings = [], [], [], [], [], []
+            n_asked, n_pieces, pieces, words, heads, tails = [], [], [], [], [], []
             for i, (q, a) in enumerate(zip(batch.column("question").to_pylist(), batch.column("answer").to_pylist())):
                 defect = "empty" if is_empty(a) else "copy" if is_copy(q, a) else "other_language" if q and other_language(q, a, shared.value) else None
                 said = units(a) if defect not in ("empty", "copy") else []
@@ -203,16 +220,24 @@ def read_off(pairs: DataFrame, model: dict[str, list[float]]) -> DataFrame:
                 at.append(i)
                 defects.append(defect)
                 openings.append(opening)
-                prompts.append(_hash(" ".join(sorted(set(_LETTERS.findall((q or "").lower()))))))
-                asked.append([_hash(w) for w in set(_LETTERS.findall((q or "").lower()))] if opening else [])
-                answers.append(_hash("\n".join(said)))
-                pieces.append([])
-                for u in said if opening else ():
+                prompt = sorted(set(_LETTERS.findall((q or "").lower())))
+                prompts.append(" ".join(prompt))
+                answers.append("\n".join(said))
+                if not opening:
+                    prompt, said = [], []
+                asked += prompt
+                n_asked.append(len(prompt))
+                pieces += said
+                n_pieces.append(len(said))
+                for u in said:
                     w = u.split(" ")
-                    pieces[-1].append({"u": _hash(u), "words": len(w), "head": _hash(" ".join(w[:3])), "tail": _hash(" ".join(w[-3:]))})
+                    words.append(len(w))
+                    heads.append(" ".join(w[:3]))
+                    tails.append(" ".join(w[-3:]))
             take = pa.array(at, pa.int64())
-            columns = [batch.column("tbl").take(take), batch.column("key").take(take), pa.array(defects, pa.string()), pa.array(prompts, pa.int64()), pa.array(asked, pa.list_(pa.int64()))]
-            columns += [pa.array(answers, pa.int64()), pa.array(openings, pa.string()), pa.array(pieces, pa.list_(_PIECE))]
+            parts = pa.StructArray.from_arrays([pa.array(_hashes(pieces)), pa.array(words, pa.int32()), pa.array(_hashes(heads)), pa.array(_hashes(tails))], ["u", "words", "head", "tail"])
+            columns = [batch.column("tbl").take(take), batch.column("key").take(take), pa.array(defects, pa.string()), pa.array(_hashes(prompts)), _lists(pa.array(_hashes(asked)), n_asked)]
+            columns += [pa.array(_hashes(answers)), pa.array(openings, pa.string()), _lists(parts, n_pieces)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "tbl string, key bigint, defect string, prompt bigint, asked array<bigint>, answer bigint, opening string, pieces array<struct<u:bigint,words:int,head:bigint,tail:bigint>>"
