@@ -63,6 +63,8 @@ RARE_WORD, FEW_PROMPTS = 0.0005, 8
 MOST_SENT = 200_000
 SIMILAR = 0.8
 SHINGLE = 5
+#: Sets that meet under one shingle before they are compared with two of them first.
+CROWD = 2000
 VOCABULARY = 50_000
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -275,7 +277,7 @@ def band(m: Column) -> Column:
 
 
 def similar_pairs(sets: DataFrame) -> DataFrame:
-    """``(a, b)`` of ``(c, m, h)``, ids, sizes and ordered shingles, that have a Jaccard similarity of ``SIMILAR`` or more: all of them.
+    """``(a, b)`` of ``(c, m, h)``, ids, sizes and ordered shingles, that have a Jaccard similarity of ``SIMILAR`` or more: all of them, or enough for their components.
 
     Prefix filter: two sets of sizes ``ma`` and ``mb`` so alike have
     ``SIMILAR / (1 + SIMILAR)`` of ``ma + mb`` in common, so the first place where
@@ -283,6 +285,10 @@ def similar_pairs(sets: DataFrame) -> DataFrame:
     shingles once for each band of sizes that its partner may have, as far as such
     a partner leaves room: a shingle that many have seldom stands so far in front.
     What meets is verified in full.
+
+    Where more than ``CROWD`` meet, all are first compared with two of them; then
+    only what that has not put in the crowd's largest component meets the others,
+    so that of a crowd of sets all alike not every pair is made.
     """
     share = F.lit(SIMILAR / (1 + SIMILAR))
     least = F.ceil(F.lit(SIMILAR) * F.col("m") - 1e-9).cast("int")
@@ -292,13 +298,35 @@ def similar_pairs(sets: DataFrame) -> DataFrame:
     partners = sets.select("c", "m", "h", own.alias("own"), least.alias("least"), F.explode(F.array_distinct(F.transform(F.sequence(least, most), band))).alias("to"))
     room = F.col("m") - F.ceil(share * (F.col("m") + F.greatest("to", "least")) - 1e-9).cast("int") + 1 - F.col("own")
     first = cut(partners.filter(room > 0).select("c", "m", "own", "to", F.posexplode(F.slice("h", F.lit(1), room)).alias("i", "h")))
-    side = lambda x, mine, other: first.select("h", F.col("c").alias(x), F.col("m").alias(f"m{x}"), (F.col("own") + F.col("i")).alias(f"i{x}"), band(F.col("m")).alias(mine), F.col("to").alias(other))
-    a_left, b_left = F.col("ma") - F.col("ia"), F.col("mb") - F.col("ib")
-    fits = (F.least(a_left, b_left) >= share * (F.col("ma") + F.col("mb")) - 1e-9) & (F.least("ma", "mb") >= F.lit(SIMILAR) * F.greatest("ma", "mb") - 1e-9)
-    met = side("a", "p", "q").join(side("b", "q", "p"), ["h", "p", "q"]).filter((F.col("a") < F.col("b")) & fits).select("a", "b", "ma", "mb").distinct()
-    whole = lambda x: sets.select(F.col("c").alias(x), F.col("h").alias(f"s{x}"))
+    first = first.withColumn("own", F.col("own") + F.col("i")).withColumn("size", band(F.col("m"))).drop("i")
+    whole = lambda x: sets.select(F.col("c").alias(x), F.col("m").alias(f"m{x}"), F.col("h").alias(f"s{x}"))
     common = F.size(F.array_intersect("sa", "sb"))
-    return met.join(whole("a"), "a").join(whole("b"), "b").filter(common >= F.lit(SIMILAR) * (F.col("ma") + F.col("mb") - common) - 1e-9).select("a", "b")
+
+    def verified(met: DataFrame) -> DataFrame:
+        both = met.select("a", "b").distinct().join(whole("a"), "a").join(whole("b"), "b")
+        return both.filter(common >= F.lit(SIMILAR) * (F.col("ma") + F.col("mb") - common) - 1e-9).select("a", "b")
+
+    def meetings(one: DataFrame, other: DataFrame) -> DataFrame:
+        a = one.select("h", F.col("c").alias("a"), F.col("m").alias("ma"), (F.col("m") - F.col("own")).alias("la"), F.col("size").alias("p"), F.col("to").alias("q"), F.col("part").alias("pa"))
+        b = other.select("h", F.col("c").alias("b"), F.col("m").alias("mb"), (F.col("m") - F.col("own")).alias("lb"), F.col("size").alias("q"), F.col("to").alias("p"), F.col("part").alias("pb"))
+        fits = (F.least("la", "lb") >= share * (F.col("ma") + F.col("mb")) - 1e-9) & (F.least("ma", "mb") >= F.lit(SIMILAR) * F.greatest("ma", "mb") - 1e-9)
+        return a.join(b, ["h", "p", "q"]).filter(fits & (F.col("pa") != F.col("pb")))
+
+    at = ["h", "low", "high"]
+    placed = first.withColumn("low", F.least("size", "to")).withColumn("high", F.greatest("size", "to")).withColumn("part", F.col("c"))
+    crowds = cut(placed.groupBy(at).agg(F.count("*").alias("n"), F.array(F.min("c"), F.max("c")).alias("two")).filter(F.col("n") > CROWD))
+    if not crowds.limit(1).count():
+        return verified(meetings(placed, placed).filter("a < b"))
+    crowd = placed.join(crowds, at)
+    star = crowd.select("c", F.explode("two").alias("to")).filter("c != to").select(F.least("c", "to").alias("a"), F.greatest("c", "to").alias("b"))
+    star = cut(verified(star))
+    _, roots = spanning_forest(star.withColumn("w", F.lit(1)))
+    crowd = cut(crowd.drop("part").join(roots, F.col("c") == F.col("node"), "left").withColumn("part", F.coalesce("root", "c")).select(*at, "c", "m", "own", "size", "to", "part"))
+    most = crowd.groupBy(*at, "part").agg(F.count("*").alias("n")).groupBy(at).agg(F.max_by("part", "n").alias("most"))
+    rest = crowd.join(most, at).filter("part != most")
+    calm = placed.join(crowds.select(at), at, "left_anti")
+    met = meetings(rest, crowd).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return verified(meetings(calm, calm).filter("a < b").select("a", "b").unionAll(met)).unionAll(star)
 
 
 def opening_clusters(read: DataFrame, answers: int = 2) -> DataFrame:

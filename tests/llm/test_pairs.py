@@ -2,6 +2,8 @@ import random
 import re
 import time
 
+from pyspark.sql import functions as F
+
 from brindle.llm import pairs
 
 SCHEMA = "tbl string, key bigint, question string, answer string, tokens int, source string, defect string"
@@ -141,3 +143,18 @@ def test_units_are_those_of_the_pattern_and_cheaper():
         return time.process_time() - began
 
     assert min(seconds(pairs.units) for _ in range(5)) < 0.9 * min(seconds(slow) for _ in range(5))
+
+
+def test_a_crowd_of_openings_all_alike_is_not_compared_in_pairs(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "CROWD", 20)
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:03d}")
+    stem = "we regret that after a careful look at all of the papers nothing can be said here about the house of "
+    alike = {f"{but}{stem}{name(i)}" for i in range(200) for but in ("", "but ")}  # each its own class, as its variant shares its last words
+    far = [f"{' '.join(f'x{i}n{j}' for j in range(3))} {' '.join(stem.split()[:14])} end{k}" for i in range(40) for k in range(2)]  # like its variant alone
+    df = spark.createDataFrame([(u, i) for i, u in enumerate([*sorted(alike), *far])], "opening string, answer bigint")
+    clusters = {}
+    for r in pairs.opening_clusters(df, answers=1).collect():
+        clusters.setdefault(r.cluster, set()).add(r.opening)
+    assert sorted(map(sorted, clusters.values())) == sorted([sorted(alike), *(sorted(far[2 * i : 2 * i + 2]) for i in range(40))])
+    sets = pairs.alike_sets(df.select(F.xxhash64("opening").alias("u"), pairs.shingles(F.col("opening")).alias("s"))).filter("u = c")
+    assert pairs.similar_pairs(sets).count() < 5000  # of 79,800 true pairs
