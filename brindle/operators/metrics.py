@@ -106,7 +106,11 @@ def text_summary(scores: DataFrame) -> DataFrame:
 
 def retrieval_metrics(queries: DataFrame, hits: DataFrame, positives: DataFrame, k: int = 10) -> DataFrame:
     """MRR, NDCG, accuracy, precision, recall and MAP at ``k`` with one right answer a query; no hit counts as 0."""
-    found = hits.filter(F.col("rank") <= k).join(positives, ["qid", "cid"]).groupBy("qid").agg(F.min("rank").alias("r"))
+    return rank_metrics(queries, hits.filter(F.col("rank") <= k).join(positives, ["qid", "cid"]).groupBy("qid").agg(F.min("rank").alias("r")), k)
+
+
+def rank_metrics(queries: DataFrame, found: DataFrame, k: int = 10) -> DataFrame:
+    """The same of ``(qid, r)``, the rank of the right answer of each query that has it among its first ``k``."""
     per = queries.select("qid").join(found, "qid", "left")
     r, hit = F.col("r"), F.col("r").isNotNull()
     mean = lambda c, name: F.round(F.avg(F.when(hit, c).otherwise(0.0)), 6).alias(name)

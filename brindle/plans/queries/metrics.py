@@ -126,13 +126,15 @@ def text_em_f1(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "ir_metrics",
-    f"""WITH {rq.BASE}, {rq._bm25_sql('hits', 10, 0.75)}, f AS (SELECT q.qid, min(rank)::DOUBLE AS r FROM q LEFT JOIN (SELECT hits.qid, rank FROM hits JOIN pos USING (qid, cid)) h USING (qid) GROUP BY q.qid)
+    f"""WITH {rq.BASE_ALL}, {rq._bm25_sql('hits', 10, 0.75)}, f AS (SELECT q.qid, min(rank)::DOUBLE AS r FROM q LEFT JOIN (SELECT hits.qid, rank FROM hits JOIN pos USING (qid, cid)) h USING (qid) GROUP BY q.qid)
       SELECT count(*) AS n, round(avg(coalesce(1 / r, 0)), 6) AS mrr, round(avg(coalesce(1 / log2(r + 1), 0)), 6) AS ndcg, round(avg((r IS NOT NULL)::INT), 6) AS accuracy,
         round(avg(CASE WHEN r IS NOT NULL THEN 0.1::DOUBLE ELSE 0 END), 6) AS precision, round(avg((r IS NOT NULL)::INT), 6) AS recall, round(avg(coalesce(1 / r, 0)), 6) AS map FROM f""",
 )
 def ir_metrics(spark: SparkSession, d: str) -> DataFrame:
-    q, corpus, pos = rq._base(spark, d)
-    return metrics.retrieval_metrics(q, retrieval.bm25(q, corpus, 10), pos)
+    """Every row with an anchor and a positive is a query."""
+    df = spread(table(spark, d, "raw_pairs", "pair_id", "anchor", "positive"))
+    q = rq._asked(df)
+    return metrics.rank_metrics(q, retrieval.own_ranks(q.withColumnRenamed("positive", "own"), retrieval.distinct_corpus(df, "positive", "pair_id"), 10))
 
 
 @query(
